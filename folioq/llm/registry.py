@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioq.llm.licenses import op10_license_scan
 from folioq.llm.mixing import op5_source_mix
 from folioq.llm.quality import op9_quality_rules
 from folioq.llm.token_count import op3_token_counts
@@ -14,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op5_source_mix": op5_source_mix,
     "op9_quality_rules": op9_quality_rules,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
