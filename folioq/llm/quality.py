@@ -159,8 +159,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("_label"))
     chosen = known.orderBy(F.xxhash64(key), key).limit(sample)  # a row of two numbers each: the bound of what is broadcast
     q = docs.select(key, text).join(F.broadcast(chosen), key).select(F.col("_label"), measures(F.col(text)).alias("q"))
-    rates = q.where(~base_failed(F.col("q"))).select((F.col("_label") == 0).alias("bad"), *[f(F.col("q")).alias(n) for n, f in RATES.items()])
-    got = sorted(tuple(r) for r in rates.collect())
+    # no filter here on the counts: it would be pushed below the join, and count in every document
+    rates = q.select((F.col("_label") == 0).alias("bad"), *[F.when(~base_failed(F.col("q")), f(F.col("q"))).alias(n) for n, f in RATES.items()])
+    got = sorted(tuple(r) for r in rates.collect() if r["mean_word"] is not None)
     # every third row prunes: neighbours in this order are alike, so that both parts are
     return learn([r[1:] for r in got], [r[0] for r in got])
 
