@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioq.llm import mixing, quality
+from folioq.llm import mixing, quality, simhash
 from folioq.llm.common import written
 
 
@@ -16,6 +16,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept(docs, quality.fit(docs, spark.read.parquet(os.path.join(sf_dir, "labels.parquet"))))
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies."""
+    return simhash.deduplicated(docs)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deals the documents out by the sources' target weights; those beyond their source's share go, others come twice."""
     return mixing.mixed(docs)
@@ -23,6 +28,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_dedup),
     ("mixing sources to target weights", source_mix),
 ]
 
