@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folioq.llm.licenses import op10_license_scan
 from folioq.llm.mixing import op5_source_mix
+from folioq.llm.piece_codec import op2_piece_codec
 from folioq.llm.quality import op9_quality_rules
 from folioq.llm.simhash import op7_simhash_groups
 from folioq.llm.token_count import op3_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_piece_codec": op2_piece_codec,
     "op3_token_counts": op3_token_counts,
     "op5_source_mix": op5_source_mix,
     "op7_simhash_groups": op7_simhash_groups,
