@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioq.llm import mixing, quality, simhash
+from folioq.llm import mixing, piece_codec, quality, simhash
 from folioq.llm.common import written
 
 
@@ -26,10 +26,16 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds each text's piece ids, their number and that of its chunks."""
+    return piece_codec.encode(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
     ("SimHash near-dedup", near_dedup),
     ("mixing sources to target weights", source_mix),
+    ("SentencePiece encoding and decoding", piece_encoding),
 ]
 
 #: Fingerprints, learned rules and piece encoding are beyond SQL: tests/llm holds the stages against brute force.
