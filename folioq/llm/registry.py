@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioq.llm.html_extract import op1_html_text
 from folioq.llm.licenses import op10_license_scan
 from folioq.llm.mixing import op5_source_mix
 from folioq.llm.piece_codec import op2_piece_codec
@@ -14,6 +15,7 @@ from folioq.llm.simhash import op7_simhash_groups
 from folioq.llm.token_count import op3_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_piece_codec": op2_piece_codec,
     "op3_token_counts": op3_token_counts,
     "op5_source_mix": op5_source_mix,
