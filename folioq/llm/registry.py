@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folioq.llm.html_extract import op1_html_text
 from folioq.llm.licenses import op10_license_scan
+from folioq.llm.media import op6_media_columns
 from folioq.llm.mixing import op5_source_mix
 from folioq.llm.piece_codec import op2_piece_codec
 from folioq.llm.quality import op9_quality_rules
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_piece_codec": op2_piece_codec,
     "op3_token_counts": op3_token_counts,
     "op5_source_mix": op5_source_mix,
+    "op6_media_columns": op6_media_columns,
     "op7_simhash_groups": op7_simhash_groups,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
