@@ -16,7 +16,6 @@ share one member. Repeated rows get a row each. Columns of the input that have a
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
 import tarfile
 import uuid

@@ -90,14 +90,3 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + t["words"])
     out = schedule(rows).select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.get("turns", F.lit(0))["virtual_finish"].alias("virtual_finish"), "order_key")
     return out.orderBy(F.col("virtual_finish").asc_nulls_last(), "order_key").drop("order_key")
-
-
-SQL5 = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-w AS (SELECT *, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM s),
-l AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level,
-      2.0 * source_size / weight AS stop FROM w WINDOW b AS (ORDER BY 2.0 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-v AS (SELECT arg_min(level, stop) AS level FROM l WHERE level <= stop)
-SELECT source, source_size, round(least(2.0 * source_size, coalesce((SELECT level FROM v), 'inf'::DOUBLE) * weight), 4) AS target FROM l
-"""

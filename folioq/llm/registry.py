@@ -14,6 +14,7 @@ from folioq.llm.piece_codec import op2_piece_codec
 from folioq.llm.quality import op9_quality_rules
 from folioq.llm.simhash import op7_simhash_groups
 from folioq.llm.token_count import op3_token_counts
+from folioq.llm.warc import SQL8, op8_warc_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
@@ -22,8 +23,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mix": op5_source_mix,
     "op6_media_columns": op6_media_columns,
     "op7_simhash_groups": op7_simhash_groups,
+    "op8_warc_records": op8_warc_records,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_warc_records": SQL8}
