@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioq.llm.hmm import op4_hmm_scores
 from folioq.llm.html_extract import op1_html_text
 from folioq.llm.licenses import op10_license_scan
 from folioq.llm.media import op6_media_columns
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_piece_codec": op2_piece_codec,
     "op3_token_counts": op3_token_counts,
+    "op4_hmm_scores": op4_hmm_scores,
     "op5_source_mix": op5_source_mix,
     "op6_media_columns": op6_media_columns,
     "op7_simhash_groups": op7_simhash_groups,
