@@ -1,10 +1,6 @@
-"""Registry of the queries over the driver's tables, by name, each with the SQL that gives the same rows where SQL can."""
+"""All queries over the driver's tables, and the SQL of those that SQL can express."""
 
-from __future__ import annotations
+from folioq.plans import documents, events, pages, shelf  # noqa: F401  they register themselves
+from folioq.plans.base import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
