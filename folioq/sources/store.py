@@ -20,7 +20,7 @@ class Table:
         self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, list(keys)
 
     def _versions(self) -> DataFrame:
-        schema = StructType([*self.schema.fields]).add("_version", "bigint").add("_deleted", "boolean")
+        schema = StructType([*self.schema.fields]).add("_version", "long").add("_deleted", "boolean")
         try:
             return self.spark.read.schema(schema).parquet(self.path)
         except Exception as e:

@@ -74,7 +74,7 @@ def expired(calls: DataFrame, user: str, ts: str, lifetime_ms: int) -> DataFrame
         yield pd.DataFrame({user: f[user].to_numpy(), "at_ms": f["_ms"].to_numpy(), "event": events})
 
     rows = calls.select(user, F.unix_millis(F.col(ts).cast("timestamp")).alias("_ms"))
-    schema = StructType([rows.schema[user]]).add("at_ms", "bigint").add("event", "string")
+    schema = StructType([rows.schema[user]]).add("at_ms", "long").add("event", "string")
     return rows.groupBy(user).applyInPandasWithState(told, schema, "until bigint", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -97,7 +97,7 @@ def memories(chapters: DataFrame, book: str = "bookUrl", index: str = "index") -
         state.update((done, list(known), list(known.values())))
         yield pd.DataFrame({book: [key[0]], "processed": [done], "names": [len(known)], "last": [next(reversed(known), None)]})
 
-    schema = StructType([chapters.schema[book]]).add("processed", "bigint").add("names", "bigint").add("last", "string")
+    schema = StructType([chapters.schema[book]]).add("processed", "long").add("names", "long").add("last", "string")
     return chapters.groupBy(book).applyInPandasWithState(told, schema, "done bigint, names array<string>, statuses array<string>", "update", GroupStateTimeout.NoTimeout)
 
 
