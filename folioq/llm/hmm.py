@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from folioq.llm.common import table, written
 
@@ -35,7 +35,7 @@ STATES, ROUNDS, RUN = 8, 2, 128
 OFTEN, ENDINGS, TAIL = 1 << 16, 1 << 12, 3
 UNKNOWN, END = OFTEN + ENDINGS, OFTEN + ENDINGS + 1
 CLASSES = OFTEN + ENDINGS + 2
-STRETCH, BATCH = 3_000_000, 400_000
+STRETCH, BATCH = 2_000_000, 200_000
 ANCHORS, PRIOR = 64, 200.0
 FOLDS, HELD = 7, 2
 LN10 = math.log(10.0)
@@ -52,12 +52,12 @@ def _numbered(df: DataFrame, key: str, text: str) -> DataFrame:
     fold = F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
     docs = df.select(F.col(key).alias("doc_id"), (fold == HELD).alias("held_out"), F.col(text).cast("binary").alias("text"))
     kind = docs.schema["doc_id"]
-    schema = StructType([StructField("stretch", StringType()), kind, StructField("held_out", BooleanType()), StructField("ids", BinaryType()), StructField("local", IntegerType()), StructField("word", BinaryType()), StructField("n", LongType())])
+    schema = StructType([StructField("stretch", LongType()), kind, StructField("held_out", BooleanType()), StructField("ids", BinaryType()), StructField("local", IntegerType()), StructField("word", BinaryType()), StructField("n", LongType())])
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task = f"{TaskContext.get().partitionId()}"
+        task = TaskContext.get().partitionId() << 24
         index, counts, tokens, part = _Index(), np.zeros(1024, np.int64), 0, 0
 
         def words() -> Iterator[pa.RecordBatch]:
@@ -65,7 +65,7 @@ def _numbered(df: DataFrame, key: str, text: str) -> DataFrame:
             for k in range(0, n, 200_000):
                 some = names[k : k + 200_000]
                 m = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{part}"] * m), pa.nulls(m, ids.type), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.binary()), pa.array(range(k, k + m), pa.int32()), pa.array(some, pa.binary()), pa.array(counts[k : k + m])], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array([task + part] * m, pa.int64()), pa.nulls(m, ids.type), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.binary()), pa.array(range(k, k + m), pa.int32()), pa.array(some, pa.binary()), pa.array(counts[k : k + m])], names=schema.names)
 
         for batch in batches:
             ids = batch.column(0)
@@ -81,7 +81,7 @@ def _numbered(df: DataFrame, key: str, text: str) -> DataFrame:
                     tokens += len(own)
                     coded.append(own.tobytes())
                 m = rows.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{part}"] * m), rows.column(0), rows.column(1), pa.array(coded, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array([task + part] * m, pa.int64()), rows.column(0), rows.column(1), pa.array(coded, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())], names=schema.names)
                 if tokens > STRETCH:
                     yield from words()
                     index, counts, tokens, part = _Index(), np.zeros(1024, np.int64), 0, part + 1
