@@ -31,11 +31,11 @@ MARK = "▁"
 State = tuple[int, int]  # code points beyond the boundary, and of the whole piece; (0, 0) before the text
 
 
-def states(s: Spans, text: str, at: int) -> list[State]:
-    """All pieces of text that start before `at` and end there or behind, in a fixed order."""
+def states(s: Spans, text: str, at: int, lo: int = 0) -> list[State]:
+    """All pieces that start before `at` and end there or behind, in a fixed order. text begins at place lo of the whole."""
     if at == 0:
         return [(0, 0)]
-    out = []
+    out, at = [], at - lo
     for over in range(0, s.widest):
         if at + over > len(text):
             break
@@ -45,32 +45,43 @@ def states(s: Spans, text: str, at: int) -> list[State]:
     return out
 
 
-def _steps(s: Spans, text: str, left: int, right: int, begin: dict[int, dict[int, int]]) -> dict[int, dict[int, int]]:
-    """nodes[place][length]: the set of begin's states, as bits, from which a path reaches the piece that ends at place."""
-    nodes, ids, widest, fits = begin, s.ids, s.widest, s.fits
-    for end in range(left + 1, min(len(text), right + widest - 1) + 1):
-        here = nodes.get(end, {})
-        for n in range(max(1, end - right + 1), min(widest, end - left) + 1):
-            if (before := nodes.get(end - n)) and (n == 1 or text[end - n : end] in ids):
-                piece, bits = text[end - n : end], 0
-                for m, b in before.items():
-                    if not m or fits(text[end - n - m : end - n], piece):
+def _steps(s: Spans, text: str, left: int, right: int, nodes: dict[int, dict[int, int]], lo: int) -> dict[int, dict[int, int]]:
+    """nodes[place][length]: the set of the first nodes' states, as bits, from which a path reaches the piece that ends at place."""
+    ids, tails, known, fits = s.ids, s.tails, s.known, s.fits
+    left, right = left - lo, right - lo
+    for end in range(left + 1, min(len(text), right + s.widest - 1) + 1):
+        here = nodes.get(end + lo) or {}
+        for n in range(1, end - left + 1):
+            start = end - n
+            piece = text[start:end]
+            if n > 1 and piece not in tails:
+                break  # no piece ends like this, so no longer one does
+            if start >= right or not (before := nodes.get(start + lo)) or (n > 1 and piece not in ids):
+                continue
+            bits = 0
+            for m, b in before.items():
+                if not m:
+                    bits |= b
+                else:
+                    pair = (text[start - m : start], piece)
+                    fit = known.get(pair)
+                    if fit or fit is None and fits(*pair):
                         bits |= b
-                if bits:
-                    here[n] = here.get(n, 0) | bits
+            if bits:
+                here[n] = here.get(n, 0) | bits
         if here:
-            nodes[end] = here
+            nodes[end + lo] = here
     return nodes
 
 
-def transfer(s: Spans, text: str, left: int, right: int) -> np.ndarray:
+def transfer(s: Spans, text: str, left: int, right: int, lo: int = 0) -> np.ndarray:
     """The max-plus matrix of the chunk from left to right: 0 where a path leads from state to state, else -inf."""
     begin: dict[int, dict[int, int]] = {}
-    sources = states(s, text, left)
+    sources = states(s, text, left, lo)
     for k, (over, n) in enumerate(sources):
         begin.setdefault(left + over, {})[n] = 1 << k
-    nodes = _steps(s, text, left, right, begin)
-    goals = states(s, text, right)
+    nodes = _steps(s, text, left, right, begin, lo)
+    goals = states(s, text, right, lo)
     out = np.full((len(sources), len(goals)), -np.inf)
     for j, (over, n) in enumerate(goals):
         bits = nodes.get(right + over, {}).get(n, 0)
@@ -107,14 +118,14 @@ def settle(matrices: list[np.ndarray], source: int, goal: int) -> list[int]:
     return inner(0, len(matrices), source, goal)
 
 
-def backtrace(s: Spans, text: str, left: int, right: int, source: State, goal: State) -> list[int]:
+def backtrace(s: Spans, text: str, left: int, right: int, source: State, goal: State, lo: int = 0) -> list[int]:
     """Ids of the pieces that start within the chunk, on the path between the two states."""
-    nodes = _steps(s, text, left, right, {left + source[0]: {source[1]: 1}})
+    nodes = _steps(s, text, left, right, {left + source[0]: {source[1]: 1}}, lo)
     at, n, pieces = right + goal[0], goal[1], []
     while at > left + source[0]:
-        pieces.append(piece := text[at - n : at])
+        pieces.append(piece := text[at - n - lo : at - lo])
         at -= n
-        n = next(m for m in nodes[at] if not m or s.fits(text[at - m : at], piece))
+        n = next(m for m in nodes[at] if not m or s.fits(text[at - m - lo : at - lo], piece))
     return [i for p in reversed(pieces) for i in ids_of(s, p)]
 
 
@@ -158,7 +169,10 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, giant: in
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 ids = model(path).encode([t or "" for t in part.column(where).to_pylist()], num_threads=1)
-                new = [pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array([1] * len(ids), pa.int64())]
+                sizes = np.array([len(x) for x in ids], dtype=np.int64)
+                flat = np.concatenate([np.array(x, dtype=np.int32) for x in ids]) if ids else np.zeros(0, np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+                new = [lists, pa.array(sizes), pa.array(np.ones(len(ids), np.int64))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=names)
 
     small = df.where(size <= giant).mapInArrow(whole, StructType([*df.schema.fields, *added]))
@@ -189,7 +203,7 @@ def _scanned(df: DataFrame, text: str, path: str, chunk: int) -> DataFrame:
             out = []
             for x in f.itertuples(index=False):
                 # a boundary's states depend on the text around it alone, so both of its chunks number them alike
-                m = transfer(s, _Part(x.part, x.lo), x.left, x.right)
+                m = transfer(s, x.part, x.left, x.right, x.lo)
                 out.append((x[0], x.k, x.n, m.shape[1], np.packbits(m == 0.0).tobytes(), m.shape[0]))
             yield pd.DataFrame(out, columns=[row, "k", "n", "goals", "bits", "sources"])
 
@@ -212,8 +226,8 @@ def _scanned(df: DataFrame, text: str, path: str, chunk: int) -> DataFrame:
         for f in frames:
             ids = []
             for x in f.itertuples(index=False):
-                t = _Part(x.part, x.lo)
-                ids.append(backtrace(s, t, x.left, x.right, states(s, t, x.left)[x.source], states(s, t, x.right)[x.goal]))
+                source, goal = states(s, x.part, x.left, x.lo)[x.source], states(s, x.part, x.right, x.lo)[x.goal]
+                ids.append(backtrace(s, x.part, x.left, x.right, source, goal, x.lo))
             yield pd.DataFrame({row: f[row], "k": f["k"], "ids": ids})
 
     ids = parts.join(chosen, [row, "k"]).mapInPandas(traced, f"{row} bigint, k int, ids array<int>")
@@ -221,21 +235,6 @@ def _scanned(df: DataFrame, text: str, path: str, chunk: int) -> DataFrame:
     return rows.join(ids, row).drop(row).withColumn("n_tokens", F.size("piece_ids").cast("long"))
 
 
-class _Part:
-    """A stretch of a text that is addressed by places in the whole text."""
-
-    __slots__ = ("lo", "part")
-
-    def __init__(self, part: str, lo: int):
-        self.part, self.lo = part, lo
-
-    def __len__(self) -> int:
-        return self.lo + len(self.part)
-
-    def __getitem__(self, at: slice) -> str:
-        return self.part[at.start - self.lo : at.stop - self.lo]
-
-
 def decoder(path: str):
     s = spans(path)
     raw = [bytes([int(p[3:5], 16)]) if s.is_byte[i] else b"" if s.sp.is_control(i) else p.encode() for i, p in enumerate(s.pieces)]
@@ -251,9 +250,9 @@ def decode(df: DataFrame, ids: str = "piece_ids", name: str = "decoded", path: s
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoded = decoder(path)
         for batch in batches:
-            texts = []
-            for k in range(0, batch.num_rows, 256):
-                texts += [decoded(x or []) for x in batch.column(where).slice(k, 256).to_pylist()]
+            column = batch.column(where)
+            flat, cuts, absent = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(), column.is_null().to_pylist()
+            texts = ["" if gone else decoded(flat[a:b].tolist()) for a, b, gone in zip(cuts[:-1].tolist(), cuts[1:].tolist(), absent)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
 
     return df.mapInArrow(told, StructType([*df.schema.fields, StructField(name, StringType())]))

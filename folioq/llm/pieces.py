@@ -39,7 +39,8 @@ class Spans:
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in special and not self.is_byte[i]}
         self.widest = max(map(len, self.ids))
         self.unknown = self.sp.unk_id()
-        self._fits: dict[tuple[str, str], bool] = {}
+        self.tails = {p[k:] for p in self.ids for k in range(len(p))}  # what some piece ends in
+        self.known: dict[tuple[str, str], bool] = {}  # what fits() has found out
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and where each starts in the normalised text (spaces as marks, no begin mark)."""
@@ -55,9 +56,9 @@ class Spans:
         An encoding's neighbours all fit, and a sequence whose neighbours all fit is the encoding: merges happen by
         score, then from the left, and a merge over a border would happen in the encoding of the two alone as well.
         """
-        if (known := self._fits.get((a, b))) is None:
+        if (known := self.known.get((a, b))) is None:
             i, j = self.ids.get(a), self.ids.get(b)
-            known = self._fits[a, b] = self._symbols(a + b) == [a, b] if i is None or j is None else self.sp.encode(a + b) == [i, j]
+            known = self.known[a, b] = self._symbols(a + b) == [a, b] if i is None or j is None else self.sp.encode(a + b) == [i, j]
         return known
 
     def _symbols(self, text: str) -> list[str]:
