@@ -57,6 +57,8 @@ class Spans:
         score, then from the left, and a merge over a border would happen in the encoding of the two alone as well.
         """
         if (known := self.known.get((a, b))) is None:
+            if len(self.known) > 2_000_000:
+                self.known.clear()
             i, j = self.ids.get(a), self.ids.get(b)
             known = self.known[a, b] = self._symbols(a + b) == [a, b] if i is None or j is None else self.sp.encode(a + b) == [i, j]
         return known
