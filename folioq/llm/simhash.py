@@ -9,6 +9,10 @@ differences from node to node on the way down, and leaves out whole groups once
 yields a spanning forest of its links, at most one row per fingerprint, and star contraction joins the forests. A
 fingerprint has at most 2080 others within two bits, so the work stays in proportion however large a group of copies.
 
+To keep one of each group of similar texts (`deduplicated`), the same index runs over short fingerprints of the distinct
+words, and each pair that it finds is judged by wide fingerprints of five-word shingles before it counts. Copies are one
+class there too; a part's pairs are looked at in blocks and given out as a forest, whatever their number.
+
 Words are what stands between blanks (space, tab to carriage return), A-Z lower-cased; a text of fewer words than a
 shingle has is one shingle; null and empty texts have no words, fingerprint zero, and are linked like any other.
 Repeated rows share a class. A null doc_id can't name a component that has other ids; a component of none but null ids
@@ -18,6 +22,7 @@ has a null component_id. An empty table gives no rows. Columns of the input that
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +33,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 from folioq.llm.common import table, without, written
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
-FAN, ROWS, QUERIES = 8, 200_000, 8_192
-BLOCKS = [(42, 22), (21, 21), (0, 21)]
+FAN, ROWS, QUERIES, FEW = 8, 200_000, 8_192, 512
+#: For similar texts: words to a shingle, words of the wide fingerprint, short fingerprints and their bits, slack.
+LONG, WIDE, LOOKUPS, SHORT, SLACK = 5, 8, 4, 40, 0.016
 MASK64 = (1 << 64) - 1
 
 
@@ -62,11 +68,19 @@ def fingerprints(df: DataFrame, text: str = "text", shingle: int = SHINGLE, name
     return df.select(*[f"`{c}`" for c in rest], F.col(f"`{text}`").cast("binary")).mapInArrow(made, schema)
 
 
-def tables() -> list[list[tuple[int, int]]]:
+def _blocks(bits: int) -> list[tuple[int, int]]:
+    """Three blocks (shift, width), the highest first."""
+    low = bits // 3
+    mid = (bits - low) // 2
+    return [(low + mid, bits - low - mid), (low, mid), (0, low)]
+
+
+@lru_cache(maxsize=4)
+def tables(bits: int = 64) -> list[list[tuple[int, int]]]:
     """For each table, fields (shift, width) of a fingerprint: first those that must agree (two of them), then the rest."""
-    out = []
-    for k, block in enumerate(BLOCKS):
-        rest = [(shift + width - i - 1, 1) for shift, width in BLOCKS[:k] + BLOCKS[k + 1 :] for i in range(width)]
+    out, blocks = [], _blocks(bits)
+    for k, block in enumerate(blocks):
+        rest = [(shift + width - i - 1, 1) for shift, width in blocks[:k] + blocks[k + 1 :] for i in range(width)]
         thirds = [rest[: len(rest) // 3], rest[len(rest) // 3 : 2 * len(rest) // 3], rest[2 * len(rest) // 3 :]]
         for j, third in enumerate(thirds):
             out.append(_runs([block, *third]) + _runs([x for t in thirds[:j] + thirds[j + 1 :] for x in t]))
@@ -84,12 +98,12 @@ def _runs(fields: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _key_mask(k: int) -> int:
+def _key_mask(k: int, bits: int = 64) -> int:
     """Of table k, the bits that must agree."""
-    size = BLOCKS[k // 3][1]
-    third = (64 - size) // 3
-    left, mask = size + (third, 2 * (64 - size) // 3 - third, (64 - size) - 2 * (64 - size) // 3)[k % 3], 0
-    for shift, width in tables()[k]:
+    size = _blocks(bits)[k // 3][1]
+    rest = bits - size
+    left, mask = size + (rest // 3, 2 * rest // 3 - rest // 3, rest - 2 * rest // 3)[k % 3], 0
+    for shift, width in tables(bits)[k]:
         take = min(width, left)
         mask |= ((1 << take) - 1) << (shift + width - take)
         left -= take
@@ -127,11 +141,11 @@ class GrayIndex:
             above = np.repeat(patterns[k + 1][1], FAN)[: len(pattern)] if k + 1 < len(patterns) else np.full(len(pattern), MASK64, dtype=np.uint64)
             self.levels.append((pattern, ~varies & above, np.bitwise_count(varies).astype(np.int64)))  # own bits: fixed here, not above
 
-    def links(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of positions that connect, through each other, all that lie within radius; blocks of bounded size."""
-        n, top = len(self.levels[0][0]), len(self.levels) - 1
-        for first in range(0, n, QUERIES):
-            q = np.arange(first, min(n, first + QUERIES))
+    def links(self, radius: int, every: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of positions that connect, through each other, all that lie within radius; with `every`, each such pair."""
+        n, top, step = len(self.levels[0][0]), len(self.levels) - 1, FEW if every else QUERIES
+        for first in range(0, n, step):
+            q = np.arange(first, min(n, first + step))
             roots = np.arange(len(self.levels[top][0]))
             query, node, off = np.repeat(q, len(roots)), np.tile(roots, len(q)), np.zeros(len(q) * len(roots), dtype=np.int64)
             for level in range(top, -1, -1):
@@ -147,7 +161,7 @@ class GrayIndex:
                     break
                 # all below are within reach, and of each other: one link and the group's own chain say so
                 whole = (off + varying[node] <= radius) & (node * width > query)
-                if whole.any():
+                if not every and whole.any():
                     yield query[whole], node[whole] * width
                     for g in np.unique(node[whole]):
                         chain = np.arange(g * width, min(n, (g + 1) * width))
@@ -160,9 +174,9 @@ class GrayIndex:
                 query, node, off = query[keep], node[keep], off[keep]
 
 
-def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """For each position, the root of its component; pairs are folded in as they come."""
-    root = np.arange(n)
+def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], root: np.ndarray | None = None) -> np.ndarray:
+    """For each position, the root of its component; pairs are folded in as they come, into `root` if there is one."""
+    root = np.arange(n) if root is None else root
     for a, b in pairs:
         while True:
             ra, rb = root[a], root[b]
@@ -177,36 +191,49 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
-def _linked(radius: int):
-    fields = tables()
+def _linked(radius: int, bits: int = 64, words: int = 0, most: int = 0):
+    """Forests of the rows (t, key, fp, id and, with words, so many of a wider fingerprint), sorted by table and key.
 
-    def part(t: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        values = permuted(fps, fields[t])
+    With words, a pair counts only if the wider fingerprints differ in `most` bits or fewer.
+    """
+    fields = tables(bits)
+
+    def part(t: int, fps: np.ndarray, ids: np.ndarray, wide: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        values = permuted(fps.view(np.uint64), fields[t % 9])
         order = np.argsort(gray_rank(values), kind="stable")
-        fps, values = fps[order], values[order]
-        root = forest(len(fps), GrayIndex(values).links(radius))
-        leaf = root != np.arange(len(fps))
-        return fps[leaf], fps[root[leaf]]
+        ids, wide = ids[order], [w[order].view(np.uint64) for w in wide]
+        root = np.arange(len(ids))
+        for a, b in GrayIndex(values[order]).links(radius, bool(wide)):
+            if wide:
+                open_ = root[a] != root[b]
+                a, b = a[open_], b[open_]
+                close = sum((np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in wide), np.zeros(len(a), np.int64)) <= most
+                a, b = a[close], b[close]
+            root = forest(len(ids), iter([(a, b)]), root)
+        leaf = root != np.arange(len(ids))
+        return ids[leaf], ids[root[leaf]]
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by table and key; a block ends where the key does."""
-        t, key, fp = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        """A block of rows ends where the key does."""
+        have = [np.empty(0, np.int64) for _ in range(4 + words)]
 
         def done(upto: int) -> Iterator[pa.RecordBatch]:
-            for k in np.unique(t[:upto]):
-                a, b = part(int(k), fp[:upto][t[:upto] == k].view(np.uint64))
+            for k in np.unique(have[0][:upto]):
+                here = have[0][:upto] == k
+                _, _, fp, ids, *wide = (x[:upto][here] for x in have)
+                a, b = part(int(k), fp, ids, wide)
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            t, key, fp = (np.concatenate([x, batch.column(k).to_numpy(zero_copy_only=False)]) for k, x in enumerate((t, key, fp)))
-            if len(t) >= ROWS:
-                change = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1]))
+            have = [np.concatenate([x, batch.column(k).to_numpy(zero_copy_only=False)]) for k, x in enumerate(have)]
+            if len(have[0]) >= ROWS:
+                change = np.flatnonzero((have[0][1:] != have[0][:-1]) | (have[1][1:] != have[1][:-1]))
                 if len(change):
                     cut = int(change[-1]) + 1
                     yield from done(cut)
-                    t, key, fp = t[cut:], key[cut:], fp[cut:]
-        yield from done(len(t))
+                    have = [x[cut:] for x in have]
+        yield from done(len(have[0]))
 
     return linked
 
@@ -220,7 +247,7 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius > RADIUS:
         raise ValueError(f"the tables find differences of up to {RADIUS} bits")
     rows = F.array(*[F.struct(F.lit(k).cast("bigint").alias("t"), F.col("fp").bitwiseAND(F.lit(signed(_key_mask(k)))).alias("key")) for k in range(9)])
-    keyed = classes.select("fp", F.explode(rows).alias("k")).select("k.t", "k.key", "fp").repartition("t", "key").sortWithinPartitions("t", "key")
+    keyed = classes.select("fp", F.explode(rows).alias("k")).select("k.t", "k.key", "fp", F.col("fp").alias("id")).repartition("t", "key").sortWithinPartitions("t", "key")
     return keyed.mapInArrow(_linked(radius), "a bigint, b bigint")
 
 
@@ -250,12 +277,17 @@ def contract(edges: DataFrame) -> DataFrame:
 def components(fps: DataFrame, least: Column, radius: int = RADIUS) -> DataFrame:
     """(fp, component): for each distinct fingerprint of fps, the least value of its component."""
     classes = written(fps.groupBy("fp").agg(F.min(least).alias("least")), "classes")
-    stars = contract(links(classes, radius))
+    return _joined(classes, links(classes, radius))
+
+
+def _joined(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, component) of classes (fp, least) that edges (a, b) of their fp connect."""
+    stars = contract(edges)
     nodes = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
     own = nodes.join(classes, nodes["node"] == classes["fp"]).select("node", "root", "least")
     of_root = own.groupBy("root").agg(F.min("least").alias("component"))
     linked = own.join(of_root, "root").select(F.col("node").alias("fp"), "component")
-    return classes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
+    return classes.select("fp", "least").join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -265,14 +297,67 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     return fps.join(found, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """df with one row of each component: that of the smallest key, nulls last, and of equal ones any."""
-    fp, row = "_folioq_fp", "_folioq_row"
-    rows = df.select("*", F.col(text).alias("_folioq_text"))
-    rows = written(fingerprints(rows, "_folioq_text", shingle, fp).withColumn(row, F.monotonically_increasing_id()), "rows")
-    light = rows.select(F.col(fp).alias("fp"), F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col(row).alias("row")).alias("least"))
-    stay = components(light, F.col("least"), radius).select(F.col("component.row").alias(row)).distinct()
-    return rows.join(stay, row, "left_semi").select(*[f"`{c}`" for c in df.columns])
+def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
+    """The word-th of a hash's further 64-bit hashes."""
+    x = hashes + np.uint64((word * 0x9E3779B97F4A7C15) & MASK64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _majority(hashes: np.ndarray, words: int) -> list[int]:
+    """So many words of a fingerprint in which each hash has a vote on every bit."""
+    if not len(hashes):
+        return [0] * words
+    total = np.zeros(64 * words, dtype=np.int64)
+    for k in range(0, len(hashes), 1 << 14):
+        some = hashes[k : k + (1 << 14)]
+        wide = np.stack([_mixed(some, w) for w in range(words)], axis=1).astype(">u8")
+        total += np.unpackbits(wide.view(np.uint8).reshape(len(some), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(total * 2 > len(hashes)).view(">i8").astype(np.int64).tolist()
+
+
+def sketch(text: bytes) -> tuple[list[int], list[int]]:
+    """WIDE words over five-word shingles, for similarity; LOOKUPS short fingerprints over distinct words, for finding.
+
+    A changed word changes five shingles, but one of many distinct words: near copies differ in few bits of the latter.
+    """
+    words = text.lower().split()
+    digest = xxhash.xxh64_intdigest
+    parts = map(b" ".join, zip(*(words[k:] for k in range(LONG)))) if len(words) >= LONG else [b" ".join(words)] if words else []
+    wide = _majority(np.fromiter((digest(p, SEED) for p in set(parts)), dtype=np.uint64), WIDE)
+    found = _majority(np.fromiter((digest(w, SEED) for w in set(words)), dtype=np.uint64), LOOKUPS)
+    return wide, [(x & MASK64) >> (64 - SHORT) for x in found]
+
+
+def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
+    """df with one row of each group of texts whose five-word shingles are similar: that of the smallest key, nulls last, of equal ones any.
+
+    Similarity (of sets, by Jaccard) is estimated from the share of bits in which the wide fingerprints differ: at 0.8
+    it is 0.151, with a standard deviation of 0.016; SLACK is added. Candidates come from the index over the short
+    fingerprints, of which near copies share one within two bits nearly always; copies are made one class beforehand.
+    """
+    cosine = 2 * similarity / (1 + similarity)
+    most = int((np.arccos(cosine) / np.pi + SLACK) * 64 * WIDE)
+    row, vs, cs = "_folioq_row", [f"_folioq_v{k}" for k in range(WIDE)], [f"_folioq_c{k}" for k in range(LOOKUPS)]
+    names = df.columns
+    at = names.index(text)
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [sketch((t or "").encode()) for t in batch.column(at).to_pylist()]
+            new = [pa.array([m[0][k] for m in made], pa.int64()) for k in range(WIDE)] + [pa.array([m[1][k] for m in made], pa.int64()) for k in range(LOOKUPS)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, *vs, *cs])
+
+    rows = df.mapInArrow(sketched, StructType([*df.schema.fields, *(StructField(c, LongType()) for c in (*vs, *cs))]))
+    rows = written(rows.withColumn(row, F.monotonically_increasing_id()), "rows")
+    least = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col(row).alias("row"))
+    classes = written(rows.select(*vs, *cs, least.alias("_least")).groupBy(*vs, *cs).agg(F.min("_least").alias("least")).withColumn("fp", F.col("least.row")), "classes")
+    lookups = [F.struct(F.lit(9 * c + k).cast("bigint").alias("t"), F.col(name).bitwiseAND(F.lit(_key_mask(k, SHORT))).alias("key"), F.col(name).alias("short")) for c, name in enumerate(cs) for k in range(9)]
+    keyed = classes.select(F.col("fp").alias("id"), *vs, F.explode(F.array(*lookups)).alias("k")).select("k.t", "k.key", "k.short", "id", *vs)
+    edges = keyed.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_linked(RADIUS, SHORT, WIDE, most), "a bigint, b bigint")
+    stay = _joined(classes, edges).select(F.col("component.row").alias(row)).distinct()
+    return rows.join(stay, row, "left_semi").select(*[f"`{c}`" for c in names])
 
 
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

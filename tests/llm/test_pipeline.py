@@ -3,11 +3,16 @@
 import collections
 
 import corpus_pipeline as P
-from folioq.llm import pieces, quality, simhash
+from folioq.llm import pieces, quality
 
 SF = "/root/testdata/sf0.001"
 
 
+def five(text):
+    w = text.encode().lower().split()
+    return set(zip(*(w[k:] for k in range(5)))) if len(w) >= 5 else {tuple(w)}
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     first = docs
@@ -19,8 +24,15 @@ def test_stages(spark):
             kept = {r["doc_id"] for r in quality.quality(docs, quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))).collect() if r["kept"]}
             assert {r["doc_id"] for r in rows} == kept and 0 < len(rows) < len(before)
         elif k == 1:
-            group = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
-            assert sorted(r["doc_id"] for r in rows) == sorted(set(group.values()))
+            text = {r["doc_id"]: r["text"] for r in before}
+            shingles = {d: five(t) for d, t in text.items()}
+            stay = {r["doc_id"] for r in rows}
+            alike = {(a, b): len(x & y) / len(x | y) for a, x in shingles.items() for b, y in shingles.items() if a < b and x & y}
+            best = collections.defaultdict(float)
+            for (a, b), j in alike.items():
+                best[a], best[b] = max(best[a], j), max(best[b], j)
+            assert all(best[d] > 0.65 for d in text if d not in stay) and not any(j > 0.9 and a in stay and b in stay for (a, b), j in alike.items())
+            assert len(stay) < len(text)
         elif k == 2:
             size = {r["doc_id"]: len(r["text"].encode().split()) for r in before}
             times = collections.Counter(r["doc_id"] for r in rows)

@@ -76,6 +76,35 @@ def test_table(spark):
     assert len(got) == len(docs) and [got[r["doc_id"]] for r in docs] == [(f"{f:016x}", c) for f, c in zip(fps, groups(fps, [r["doc_id"] for r in docs]))]
 
 
+def test_similar_texts_are_found(spark):
+    rng = np.random.default_rng(4)
+    rows, copies = [], 0
+    for k in range(60):
+        words = [f"w{x}" if x > 6_000 else f"f{x % 40}" for x in rng.integers(0, 20_000, int(rng.integers(60, 700)))]
+        rows.append((10 * k, " ".join(words), "s"))
+        for c in range(3):
+            edited = words[:]
+            for at in range(int(rng.integers(0, 50)), len(words), 60):
+                edited[at] = f"x{k}{c}{at}"
+            rows.append((10 * k + c + 1, " ".join(edited), "s"))
+            copies += 1
+    kept = {r["doc_id"] for r in S.deduplicated(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect()}
+    assert {10 * k for k in range(60)} <= kept and len(kept) - 60 <= 0.1 * copies
+
+
+def test_one_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{x}" for x in range(400)]
+    rows = [(0, " ".join(words), "s")]
+    for k in range(1, 1500):
+        edited = words[:]
+        for at in rng.integers(0, 400, 4):
+            edited[at] = f"x{k}{at}"
+        rows.append((k, " ".join(edited), "s"))
+    kept = S.deduplicated(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect()
+    assert 0 in {r["doc_id"] for r in kept} and len(kept) < 30
+
+
 def test_edges(spark):
     rows = [(1, "a b c d", "x"), (2, "a b c d", "x"), (2, "a b c d", "x"), (None, None, "x"), (7, "", "x"), (None, "q w e r t y", "x")]
     df = spark.createDataFrame(rows, "doc_id int, text string, fingerprint string")
