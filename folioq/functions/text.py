@@ -134,3 +134,23 @@ def merged_summary(old: Column, new: Column, most: int = 1200) -> Column:
     out = F.coalesce(absent_if_empty(F.trim(new)), old)
     head = int(most * 0.55)
     return F.when(F.length(out) <= most, out).otherwise(F.concat(F.left(out, F.lit(head)), F.lit("……"), F.right(out, F.lit(most - head - 2))))
+
+
+def error_summary(html: Column, most: int = 240) -> Column:
+    """What a page says about an error: its title, else its text, with the commonest references decoded."""
+    title = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    out = F.when(F.trim(title) != "", title).otherwise(no_tags(no_scripts(html)))
+    for code, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(code), F.lit(mark))
+    return F.left(collapsed(out), F.lit(most))
+
+
+def by_pinyin(c: Column) -> Column:
+    """A text to order by as Chinese readers do."""
+    return F.collate(c, "zh")
+
+
+def explore_lines(c: Column) -> Column:
+    """Explore categories as lines (or <br>) of title::url, those without :: left out."""
+    lines = F.filter(F.split(c, r"\n|<br\s*/?>"), lambda x: F.contains(x, F.lit("::")))
+    return F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, "::", 1)).alias("title"), F.trim(F.regexp_replace(x, "^.*?::", "")).alias("url")))

@@ -81,3 +81,17 @@ def resolved(base: Column, link: Column) -> Column:
 def page_stem(c: Column) -> Column:
     """A path without the number of a further page: -N or _N, N of 2 or more, before the extension."""
     return F.regexp_replace(c, r"[-_](?:[2-9]|[1-9]\d+)(\.\w+)?/?$", "$1")
+
+
+#: Extensions and their content types, fixed values.
+TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "svg": "image/svg+xml", "ico": "image/x-icon"}
+
+
+def extension(c: Column, default: str = "jpg") -> Column:
+    """The extension of a URL's path in lower case, if it is one of a medium."""
+    found = F.lower(F.regexp_extract(path(c), r"\.([A-Za-z0-9]{1,5})$", 1))
+    return F.when(found.isin(*TYPES), found).otherwise(F.lit(default))
+
+
+def content_type(ext: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in TYPES.items() for x in (k, v)]), ext), F.lit("application/octet-stream"))

@@ -126,3 +126,16 @@ def test_store(spark, tmp_path):
     assert {r["bookUrl"]: r["cachedChapterCount"] for r in store.cached_counts(books, ch, ch.where("url = 'u1'")).collect()} == {"b1": 1, "local-x": 0}
     with pytest.raises(Exception):
         store.Table(spark, "nosuch://x", schema, ["k"]).read().count()
+
+
+def test_listing_and_feed_sources(spark, tmp_path):
+    from folioq.sources import files
+
+    (tmp_path / "d").mkdir()
+    for name in ("b.txt", "a.txt", ".hidden", "d/c.txt"):
+        (tmp_path / name).write_text("x")
+    rows = files.listing(spark, str(tmp_path))
+    assert sorted(r["name"] for r in rows.collect()) == ["a.txt", "b.txt", "c.txt"]
+    assert [(r["name"], r["is_folder"]) for r in files.children(rows, f"file:{tmp_path}").collect()] == [("d", True), ("a.txt", False), ("b.txt", False)]
+    feeds = spark.createDataFrame([('{"rssSources":[{"sourceUrl":"u","enabled":false},{"x":1}]}',), ("[",)], "value string")
+    assert [(r["sourceUrl"], r["enabled"]) for r in rulesets.read_feeds(feeds).collect()] == [("u", False)]
