@@ -38,7 +38,8 @@ def neighbours(links: DataFrame, node: str) -> DataFrame:
 def hierarchy(rows: DataFrame, key: str = "name", parent: str = "parent", most: int = 32) -> DataFrame:
     """(name, parent, depth, path) from the roots down; a row whose parent is missing is a root, rows on a cycle are left out.
 
-    One recursive query: each level joins the rows to the level above, and stops at a row that its path has already.
+    One recursive query: each level joins the rows to the level above, and stops at a row that its path has already. Spark
+    bounds such queries (spark.sql.cteRecursionRowLimit); a book's places are far below that.
     """
     spark = rows.sparkSession
     view = f"_hierarchy_{abs(hash((key, parent, rows.semanticHash()))) % 10**9}"

@@ -44,8 +44,8 @@ def completed(books: DataFrame, info: DataFrame, fields: Sequence[str] = FILLED,
 def switched(shelf: DataFrame, old_url: str, candidate: DataFrame) -> DataFrame:
     """A book's row with another source's fields; the old row goes."""
     old = shelf.where(F.col("bookUrl") == old_url)
-    new = candidate.select([F.col(c).alias(f"_c_{c}") for c in candidate.columns])
-    made = old.crossJoin(F.broadcast(new.limit(1))).select(*[F.coalesce(f"_c_{c}", c).alias(c) if c in candidate.columns else F.col(c) for c in shelf.columns])
+    new = candidate.limit(1).select(F.lit(old_url).alias("_was"), *[F.col(c).alias(f"_c_{c}") for c in candidate.columns])
+    made = old.join(new, F.col("bookUrl") == F.col("_was")).select(*[F.coalesce(f"_c_{c}", c).alias(c) if c in candidate.columns else F.col(c) for c in shelf.columns])
     return shelf.where(F.col("bookUrl") != old_url).unionByName(made)
 
 
