@@ -37,7 +37,9 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt td th figcaption li
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 #: Parts of class names and ids that name what is no main text, fixed values.
-AWAY = frozenset("ad ads advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion sidebar rail nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar comment comments commentlist disqus respond replies cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget toolbar pagination pager skiplink copyright".split())
+AWAY = frozenset("ad ads advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion sidebar rail nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar comment comments commentlist disqus respond replies cookie cookies consent gdpr notice notices notification alert disclaimer popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget toolbar pagination pager skiplink copyright".split())
+#: A header's class or id is the page's if it has no part but these, fixed values.
+TOP = frozenset("header head top site page main global web wrapper container bar inner".split())
 HERE = frozenset("article articlebody maincontent entrycontent postcontent storybody".split())
 COPY = 0.6
 LINE = tuple[str, bool]  # the text, and whether differencing may not delete it
@@ -49,6 +51,7 @@ class _Open:
     name: str
     away: bool
     article: bool
+    main: bool = False
 
 
 def _attributes(raw: str) -> tuple[bool, bool]:
@@ -58,7 +61,7 @@ def _attributes(raw: str) -> tuple[bool, bool]:
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name in ("class", "id"):
             parts = re.split(r"[^a-z0-9]+", value)
-            away = away or not AWAY.isdisjoint(parts)
+            away = away or not AWAY.isdisjoint(parts) or "header" in parts and TOP.issuperset(parts)
             article = article or not HERE.isdisjoint([*parts, *("".join(x) for x in zip(parts, parts[1:]))])
         elif name == "role":
             away, article = away or value in ROLES, article or value in ("main", "article")
@@ -73,10 +76,10 @@ def _attributes(raw: str) -> tuple[bool, bool]:
 
 def lines(html: str) -> list[LINE]:
     """The page's lines in order; those of the article only, where markup shows one."""
-    found: list[tuple[str, bool, bool, int]] = []  # text, prose, in the article, characters of links
+    found: list[tuple[str, bool, int, int]] = []  # text, prose, whether in the main part (1) or the article (2), characters of links
     text: list[str] = []
     stack: list[_Open] = []
-    away = article = 0
+    away = article = main = 0
     prose, links, in_link = False, 0, False
 
     def close() -> None:
@@ -84,7 +87,7 @@ def lines(html: str) -> list[LINE]:
         if text:
             line = " ".join(unescape("".join(text)).split())
             if line:
-                found.append((line, prose, article > 0, links))
+                found.append((line, prose, 2 if article else 1 if main else 0, links))
             text.clear()
         links, prose = 0, False
 
@@ -132,7 +135,7 @@ def lines(html: str) -> list[LINE]:
                 close() if not away else None
                 while True:
                     o = stack.pop()
-                    away, article = away - o.away, article - o.article
+                    away, article, main = away - o.away, article - o.article, main - o.main
                     if o.name == name:
                         break
             elif not away:
@@ -148,17 +151,20 @@ def lines(html: str) -> list[LINE]:
                 at = (stop.end() if html[stop.start() + 1] == "/" and stop.group().lower().startswith("</p") else stop.start()) if stop else end
             continue
         gone, marked = _attributes(raw) if raw else (False, False)
-        marked = marked or name in ("article", "main")
-        gone = (gone or name in SKIP) and name not in ("html", "body", "article", "main") and not (name == "header" and article and not gone)
+        marked = marked or name == "article"
+        gone = (gone or name in SKIP) and name not in ("html", "body", "main") and not (name == "header" and article and not gone)
         if name in ("h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "dd", "dt") and not gone:
             stack.append(_Open(name, False, False))
             continue
-        stack.append(_Open(name, gone, marked and not gone))
-        away, article = away + gone, article + (marked and not gone)
+        stack.append(_Open(name, gone, marked and not gone, name == "main"))
+        away, article, main = away + gone, article + (marked and not gone), main + (name == "main")
     if not away:
         close()
-    if any(a for _, _, a, _ in found):
-        return [(t, p) for t, p, a, _ in found if a]
+    sizes = [sum(len(t) for t, _, where, _ in found if where >= level) for level in (1, 2)]
+    if sizes[0]:
+        # an article within the main part is meant, unless it's a small part of it
+        level = 2 if 5 * sizes[1] >= 2 * sizes[0] else 1
+        return [(t, p) for t, p, where, _ in found if where >= level]
     return [(t, False) for t, _, _, n in found if 2 * n <= len(t)]
 
 

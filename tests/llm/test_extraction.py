@@ -35,6 +35,13 @@ def test_lines():
     assert E.lines("<div style='display:none'>no</div><p>yes</p><div role=navigation>no</div>") == [("yes", False)]
 
 
+def test_main_and_articles():
+    page = "<main><p>crumbs</p><article><header><h1>H</h1></header><p>{}</p></article><article class='comment'><p>nice</p></article></main><div id='site-header'>S</div>"
+    assert [t for t, _ in E.lines(page.format("text of the article"))] == ["H", "text of the article"]
+    assert [t for t, _ in E.lines("<main><p>a long text that is no article</p><article>x</article></main><p>out</p>")] == ["a long text that is no article", "x"]
+    assert [t for t, _ in E.lines("<div class='page-header'>S</div><div class='post-header'>T</div>")] == ["T"]
+
+
 def test_neighbours(spark):
     other = PAGE.replace("First", "Other").replace("Second", "Third").replace("Title", "Name")
     rows = [(1, "http://h/a/1", PAGE, "z"), (2, "http://h/a/2", other, "z"), (3, "http://g/", PAGE, "z"), (4, "http://a/1", ARTICLE.format("One."), ""), (5, "http://a/2", ARTICLE.format("Two."), "")]
