@@ -154,8 +154,13 @@ def lines(html: str) -> list[LINE]:
         marked = marked or name == "article"
         gone = (gone or name in SKIP) and name not in ("html", "body", "main") and not (name == "header" and article and not gone)
         if name in ("h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "dd", "dt") and not gone:
-            stack.append(_Open(name, False, False))
+            if away:
+                stack.append(_Open(name, False, False))
             continue
+        if name == "main" and away:
+            # no menu or header holds the main part: what is open has lost its end
+            stack.clear()
+            away = article = main = 0
         stack.append(_Open(name, gone, marked and not gone, name == "main"))
         away, article, main = away + gone, article + (marked and not gone), main + (name == "main")
     if not away:

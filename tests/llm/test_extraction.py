@@ -39,6 +39,8 @@ def test_main_and_articles():
     page = "<main><p>crumbs</p><article><header><h1>H</h1></header><p>{}</p></article><article class='comment'><p>nice</p></article></main><div id='site-header'>S</div>"
     assert [t for t, _ in E.lines(page.format("text of the article"))] == ["H", "text of the article"]
     assert [t for t, _ in E.lines("<main><p>a long text that is no article</p><article>x</article></main><p>out</p>")] == ["a long text that is no article", "x"]
+    assert [t for t, _ in E.lines("<nav><li>a<div class='menu'><main><li>one<li>two</main>")] == ["one", "two"]
+    assert [t for t, _ in E.lines("<ul><li class='ad'>x<ul><li>y</li></ul>z</li><li>w</li></ul>")] == ["w"]
     assert [t for t, _ in E.lines("<div class='page-header'>S</div><div class='post-header'>T</div>")] == ["T"]
 
 
