@@ -20,6 +20,8 @@ from folioq.llm.common import let, table, without
 
 #: Fixed values of the contract: what the base looks for.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+#: The rarest word of each base phrase: a text without any has none of them.
+BASE_KEYS = ("mit", "apache", "cc")
 #: Between words: every ASCII character that is no digit or letter.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 FOUND = "struct<n_base:bigint,first_word:bigint,last_word:bigint,base_labels:string,labels:string,score:double,detections:array<struct<start:int,stop:int,label:string,priority:int,id:int,score:double>>>"
@@ -202,7 +204,7 @@ def licenses(df: DataFrame, text: str = "text", rules: list[Signature] | None =
     """df with ADDED: the words, the base phrases' places, both kinds of labels, the score and the detections themselves."""
     rules = signatures() if rules is None else rules
 
-    keywords = F.array(*[F.lit(k) for k in sorted({r.keyword for r in rules} | {p.split()[-2] for p in BASE})])
+    keywords = F.array(*[F.lit(k) for k in sorted({r.keyword for r in rules} | set(BASE_KEYS))])
 
     def told(x: Column) -> Column:
         starts = F.transform(x["base"], lambda b: b["start"])
