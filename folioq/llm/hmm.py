@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from folioq.llm.common import table, written
+from folioq.llm.common import small_batches, table, written
 
 STATES, ROUNDS, RUN = 8, 2, 128
 OFTEN, ENDINGS, TAIL = 1 << 16, 1 << 12, 3
@@ -321,8 +321,10 @@ def score(documents: DataFrame, model: Model, size: dict) -> DataFrame:
 
 def language_model(df: DataFrame, key: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """Learns from the documents whose fold isn't HELD and scores all."""
-    documents, size = _coded(written(_numbered(df, key, text), "hmm-numbers"))
-    return score(documents, train(documents, size, states, rounds), size)
+    with small_batches(df.sparkSession):
+        documents, size = _coded(written(_numbered(df, key, text), "hmm-numbers"))
+        model = train(documents, size, states, rounds)
+    return score(documents, model, size)
 
 
 def op4_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
