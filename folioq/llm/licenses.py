@@ -11,6 +11,7 @@ Repeated rows are scanned one by one. Columns of the input that have an output's
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -129,10 +130,12 @@ def signatures() -> list[Signature]:
 
 
 def _by_keyword(rules: list[Signature]) -> Column:
-    """array<struct<key, rules>>: a keyword is looked up once for all its rules."""
-    keys = dict.fromkeys(r.keyword for r in rules)
-    rule = lambda k, r: F.struct(F.lit(k).alias("id"), F.lit(r.label).alias("label"), F.lit(f" {r.pattern}(?= )").alias("rx"), F.lit(r.priority).alias("priority"), F.lit(r.score).alias("score"))
-    return F.array(*[F.struct(F.lit(f" {key} ").alias("key"), F.array(*[rule(k, r) for k, r in enumerate(rules) if r.keyword == key]).alias("rules")) for key in keys])
+    """array<struct<key, rules>>: a keyword is looked up once for all its rules. One literal, folded when the plan is made."""
+    keys: dict[str, list[dict]] = {}
+    for k, r in enumerate(rules):
+        keys.setdefault(r.keyword, []).append({"id": k, "label": r.label, "rx": f" {r.pattern}(?= )", "priority": r.priority, "score": r.score})
+    table_ = json.dumps([{"key": f" {key} ", "rules": own} for key, own in keys.items()])
+    return F.from_json(F.lit(table_), "array<struct<key:string,rules:array<struct<id:int,label:string,rx:string,priority:int,score:double>>>>")
 
 
 def words_of(text: Column) -> Column:
