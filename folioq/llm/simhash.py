@@ -9,9 +9,9 @@ differences from node to node on the way down, and leaves out whole groups once
 yields a spanning forest of its links, at most one row per fingerprint, and star contraction joins the forests. A
 fingerprint has at most 2080 others within two bits, so the work stays in proportion however large a group of copies.
 
-To keep one of each group of similar texts (`deduplicated`), the same index runs over short fingerprints of the distinct
-words, and each pair that it finds is judged by wide fingerprints of five-word shingles before it counts. Copies are one
-class there too; a part's pairs are looked at in blocks and given out as a forest, whatever their number.
+To keep one of each group of similar texts (`deduplicated`), pairs come from the rarest five-word shingles of each text
+(a prefix filter, complete for the similarity), and each is compared by its whole sets. Copies are one class there too;
+large groups are linked by a few texts, so that their pairs aren't listed.
 
 Words are what stands between blanks (space, tab to carriage return), A-Z lower-cased; a text of fewer words than a
 shingle has is one shingle; null and empty texts have no words, fingerprint zero, and are linked like any other.
@@ -30,12 +30,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from folioq.llm.common import table, without, written
+from folioq.llm.common import small_batches, table, without, written
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 FAN, ROWS, QUERIES, FEW = 8, 200_000, 8_192, 512
-#: For similar texts: words to a shingle, words of the wide fingerprint, short fingerprints and their bits, slack.
-LONG, WIDE, LOOKUPS, SHORT, SLACK = 5, 8, 4, 40, 0.016
+#: For similar texts: words to a shingle.
+LONG = 5
 MASK64 = (1 << 64) - 1
 
 
@@ -297,67 +297,197 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     return fps.join(found, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
-    """The word-th of a hash's further 64-bit hashes."""
-    x = hashes + np.uint64((word * 0x9E3779B97F4A7C15) & MASK64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def shingles(text: bytes) -> np.ndarray:
+    """The distinct five-word shingles of a text as sorted 64-bit hashes; a shorter text that has words is one shingle."""
+    words = text.lower().split()
+    digest = xxhash.xxh64_intdigest
+    if len(words) < LONG:
+        return np.array([digest(b" ".join(words), SEED)] if words else [], dtype=np.uint64)
+    of = {w: digest(w, SEED) for w in set(words)}
+    hashes = np.fromiter((of[w] for w in words), np.uint64, len(words))
+    out = np.zeros(len(words) - LONG + 1, dtype=np.uint64)
+    for k in range(LONG):
+        out = (out + hashes[k : len(out) + k]) * np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def _least(sizes: np.ndarray, share: float) -> np.ndarray:
+    """The least whole numbers that are at least so large a share of sizes."""
+    return np.ceil(share * sizes - 1e-9).astype(np.int64)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first one, in blocks that end where its value does."""
+    parts: list[list[np.ndarray]] = []
+    held = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        held += batch.num_rows
+        last = parts[-1][0]
+        if held >= ROWS and (last[0] != last[-1] or (len(parts) > 1 and parts[-2][0][-1] != last[0])):
+            have = [np.concatenate(x) for x in zip(*parts)]
+            cut = int(np.flatnonzero(have[0][1:] != have[0][:-1])[-1]) + 1
+            yield [x[:cut] for x in have]
+            parts, held = [[x[cut:] for x in have]], len(have[0]) - cut
+    if held:
+        yield [np.concatenate(x) for x in zip(*parts)]
+
+
+def _lengths(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal keys start, and their lengths."""
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return at, np.diff(np.append(at, len(keys)))
+
+
+def _batch(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns.values()], names=list(columns))
+
+
+def _postings(texts: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """(token, id, size, pos): the shingles of each text (id, text; sizes: id, size) by which a similar one must be found, rarest first.
+
+    Two sets of the similarity have, in any common order, a shingle in common among the first size - least(size) + 1 of
+    each. The order here is by the number of texts, then the hash: a shingle of one text only is counted, no more.
+    """
+
+    def all_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sets, n = [], [], 0
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sets.append(shingles((t.as_py() or "").encode()).view(np.int64))
+                ids.append(i)
+                n += len(sets[-1])
+                if n >= ROWS:
+                    yield _batch(token=np.concatenate(sets), id=np.repeat(ids, [len(x) for x in sets]))
+                    ids, sets, n = [], [], 0
+            if n:
+                yield _batch(token=np.concatenate(sets), id=np.repeat(ids, [len(x) for x in sets]))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, ids in _whole(batches):
+            n = np.repeat(counts := _lengths(token)[1], counts)
+            yield _batch(id=ids[n > 1], n=n[n > 1], token=token[n > 1])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, _, token, size in _whole(batches):
+            at, counts = _lengths(ids)
+            pos = np.arange(len(ids)) - np.repeat(at + counts, counts) + size  # behind those that no other text has
+            keep = pos < size - _least(size, similarity) + 1
+            yield _batch(token=token[keep], id=ids[keep], size=size[keep], pos=pos[keep])
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, ids, size, pos in _whole(batches):
+            keep = np.repeat(counts := _lengths(token)[1], counts) > 1
+            yield _batch(token=token[keep], id=ids[keep], size=size[keep], pos=pos[keep])
+
+    out = texts.mapInArrow(all_, "token bigint, id bigint").repartition("token").sortWithinPartitions("token")
+    out = out.mapInArrow(shared, "id bigint, n bigint, token bigint").join(sizes, "id").select("id", "n", "token", "size").repartition("id").sortWithinPartitions("id", "n", "token")
+    out = out.mapInArrow(first, "token bigint, id bigint, size bigint, pos bigint").repartition("token").sortWithinPartitions("token")
+    return written(out.mapInArrow(several, "token bigint, id bigint, size bigint, pos bigint"), "postings")
+
+
+def _candidates(similarity: float, low: int, high: int):
+    """Pairs (a, b) from postings sorted by token and id: each one's texts from place low to high with all behind them.
+
+    Left out are pairs whose texts are linked already, and those that sizes and places show to be below the similarity.
+    """
 
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, ids, size, pos, root in _whole(batches):
+            a, b, n = [], [], 0
+            for at, count in zip(*_lengths(token)):
+                for k in range(at + low, at + min(high, count - 1)):
+                    j = np.arange(k + 1, at + count)
+                    common = np.minimum(size[k] - pos[k], size[j] - pos[j])
+                    j = j[(root[j] != root[k]) & (common >= _least(size[k] + size[j], similarity / (1 + similarity)))]
+                    a.append(np.full(len(j), ids[k]))
+                    b.append(ids[j])
+                    n += len(j)
+                    if n >= ROWS:
+                        yield _batch(a=np.concatenate(a), b=np.concatenate(b))
+                        a, b, n = [], [], 0
+            if n:
+                yield _batch(a=np.concatenate(a), b=np.concatenate(b))
+
+    return found
+
+
+def _similar(similarity: float):
+    """Of pairs (a, b, text of a, text of b), those whose sets of shingles are similar by Jaccard."""
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, None
+        for batch in batches:
+            left, right = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keep = []
+            for k, a in enumerate(left):
+                if a != last:
+                    last, x = a, shingles((batch.column(2)[k].as_py() or "").encode())
+                y = shingles((batch.column(3)[k].as_py() or "").encode())
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            keep = np.array(keep, dtype=bool)
+            yield _batch(a=np.array(left, np.int64)[keep], b=np.array(right, np.int64)[keep])
 
-def _majority(hashes: np.ndarray, words: int) -> list[int]:
-    """So many words of a fingerprint in which each hash has a vote on every bit."""
-    if not len(hashes):
-        return [0] * words
-    total = np.zeros(64 * words, dtype=np.int64)
-    for k in range(0, len(hashes), 1 << 14):
-        some = hashes[k : k + (1 << 14)]
-        wide = np.stack([_mixed(some, w) for w in range(words)], axis=1).astype(">u8")
-        total += np.unpackbits(wide.view(np.uint8).reshape(len(some), -1), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(total * 2 > len(hashes)).view(">i8").astype(np.int64).tolist()
+    return similar
 
 
-def sketch(text: bytes) -> tuple[list[int], list[int]]:
-    """WIDE words over five-word shingles, for similarity; LOOKUPS short fingerprints over distinct words, for finding.
+def _similar_links(texts: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect all texts (id, text) of the similarity, each edge between two of it, by rounds.
 
-    A changed word changes five shingles, but one of many distinct words: near copies differ in few bits of the latter.
+    A round compares the next 1, 4, 16, ... texts of each shingle with all behind them that aren't linked with them yet:
+    a large group of near copies is linked by its first texts, so its pairs are never listed.
     """
-    words = text.lower().split()
-    digest = xxhash.xxh64_intdigest
-    parts = map(b" ".join, zip(*(words[k:] for k in range(LONG)))) if len(words) >= LONG else [b" ".join(words)] if words else []
-    wide = _majority(np.fromiter((digest(p, SEED) for p in set(parts)), dtype=np.uint64), WIDE)
-    found = _majority(np.fromiter((digest(w, SEED) for w in set(words)), dtype=np.uint64), LOOKUPS)
-    return wide, [(x & MASK64) >> (64 - SHORT) for x in found]
+    spark = texts.sparkSession
+    postings = _postings(texts, sizes, similarity)
+    texts = written(texts.join(written(postings.select("id").distinct(), "near-ids"), "id", "left_semi"), "near-texts")
+    edges, low, step = spark.createDataFrame([], "a bigint, b bigint"), 0, 1
+    while True:
+        stars = contract(edges)
+        own = postings.join(stars, postings["id"] == stars["node"], "left").select("token", "id", "size", "pos", F.coalesce("root", "id").alias("root"))
+        left = own.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where(f"x < y AND n > {low + 1}").select("token")
+        open_ = written(own.join(left, "token", "left_semi"), "open-postings")
+        if open_.isEmpty():
+            return stars.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        pairs = open_.repartition("token").sortWithinPartitions("token", "id").mapInArrow(_candidates(similarity, low, low + step), "a bigint, b bigint").distinct()
+        both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+        with small_batches(spark, 500):
+            found = written(both.mapInArrow(_similar(similarity), "a bigint, b bigint"), "similar")
+        edges = found.unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        low, step = low + step, step * 4
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
     """df with one row of each group of texts whose five-word shingles are similar: that of the smallest key, nulls last, of equal ones any.
 
-    Similarity (of sets, by Jaccard) is estimated from the share of bits in which the wide fingerprints differ: at 0.8
-    it is 0.151, with a standard deviation of 0.016; SLACK is added. Candidates come from the index over the short
-    fingerprints, of which near copies share one within two bits nearly always; copies are made one class beforehand.
+    Similarity is that of sets, by Jaccard, of 64-bit hashes. Texts of equal sets are made one class beforehand; every
+    pair of classes of the similarity shares one of its rarest shingles, and each pair that does is compared whole, unless
+    it's linked already.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    most = int((np.arccos(cosine) / np.pi + SLACK) * 64 * WIDE)
-    row, vs, cs = "_folioq_row", [f"_folioq_v{k}" for k in range(WIDE)], [f"_folioq_c{k}" for k in range(LOOKUPS)]
+    row, one, two, size = "_folioq_row", "_folioq_one", "_folioq_two", "_folioq_size"
     names = df.columns
     at = names.index(text)
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [sketch((t or "").encode()) for t in batch.column(at).to_pylist()]
-            new = [pa.array([m[0][k] for m in made], pa.int64()) for k in range(WIDE)] + [pa.array([m[1][k] for m in made], pa.int64()) for k in range(LOOKUPS)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, *vs, *cs])
+            sets = [shingles((t.as_py() or "").encode()).tobytes() for t in batch.column(at)]
+            sums = [pa.array([signed(xxhash.xxh64_intdigest(s, seed)) for s in sets], pa.int64()) for seed in (SEED, SEED + 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *sums, pa.array([len(s) // 8 for s in sets], pa.int64())], names=[*names, one, two, size])
 
-    rows = df.mapInArrow(sketched, StructType([*df.schema.fields, *(StructField(c, LongType()) for c in (*vs, *cs))]))
+    rows = df.mapInArrow(sketched, StructType([*df.schema.fields, *(StructField(c, LongType()) for c in (one, two, size))]))
     rows = written(rows.withColumn(row, F.monotonically_increasing_id()), "rows")
     least = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col(row).alias("row"))
-    classes = written(rows.select(*vs, *cs, least.alias("_least")).groupBy(*vs, *cs).agg(F.min("_least").alias("least")).withColumn("fp", F.col("least.row")), "classes")
-    lookups = [F.struct(F.lit(9 * c + k).cast("bigint").alias("t"), F.col(name).bitwiseAND(F.lit(_key_mask(k, SHORT))).alias("key"), F.col(name).alias("short")) for c, name in enumerate(cs) for k in range(9)]
-    keyed = classes.select(F.col("fp").alias("id"), *vs, F.explode(F.array(*lookups)).alias("k")).select("k.t", "k.key", "k.short", "id", *vs)
-    edges = keyed.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_linked(RADIUS, SHORT, WIDE, most), "a bigint, b bigint")
-    stay = _joined(classes, edges).select(F.col("component.row").alias(row)).distinct()
-    return rows.join(stay, row, "left_semi").select(*[f"`{c}`" for c in names])
+    classes = rows.select(one, two, size, least.alias("_least")).groupBy(one, two).agg(F.min("_least").alias("least"), F.min(size).alias("size"))
+    classes = written(classes.withColumn("fp", F.col("least.row")), "classes")
+    # few rows go: where their ids are few enough for Spark to broadcast, no text is shuffled
+    copies = written(rows.select(row, one, two).join(classes.select(one, two, "fp"), [one, two]).where(F.col(row) != F.col("fp")).select(row), "copies")
+    texts = rows.join(copies, row, "left_anti").select(F.col(row).alias("id"), F.col(f"`{text}`").alias("text"))
+    edges = _similar_links(texts, classes.select(F.col("fp").alias("id"), "size"), similarity)
+    gone = _joined(classes, edges).where("component.row <> fp").select(F.col("fp").alias(row))
+    return rows.join(written(gone.unionByName(copies), "gone"), row, "left_anti").select(*[f"`{c}`" for c in names])
 
 
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

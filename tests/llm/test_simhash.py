@@ -105,6 +105,22 @@ def test_one_large_group_of_near_copies(spark):
     assert 0 in {r["doc_id"] for r in kept} and len(kept) < 30
 
 
+def test_appended_and_cut_passages(spark):
+    rng = np.random.default_rng(6)
+    texts = []
+    for k in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 3_000, int(rng.integers(60, 900)))]
+        part = int(len(words) * rng.uniform(0.05, 0.3))
+        common = [f"p{x}" for x in range(part)] if k % 3 else [f"q{k}{x}" for x in range(part)]
+        texts += [words, words + common, words[: len(words) - part], words[: len(words) // 2] + common + words[len(words) // 2 :]]
+    sets = [set(zip(*(w[k:] for k in range(5)))) for w in texts]
+    pairs = [(a, b) for a, x in enumerate(sets) for b in range(a + 1, len(sets)) if len(x & sets[b]) >= 0.8 * len(x | sets[b])]
+    assert len(pairs) > 60
+    root = S.forest(len(texts), iter([(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))]))
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id int, text string").repartition(3)
+    assert {r["doc_id"] for r in S.deduplicated(df).collect()} == set(root.tolist())
+
+
 def test_edges(spark):
     rows = [(1, "a b c d", "x"), (2, "a b c d", "x"), (2, "a b c d", "x"), (None, None, "x"), (7, "", "x"), (None, "q w e r t y", "x")]
     df = spark.createDataFrame(rows, "doc_id int, text string, fingerprint string")
