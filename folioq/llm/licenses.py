@@ -28,23 +28,23 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 FOUND = "struct<n_base:bigint,first_word:bigint,last_word:bigint,base_labels:string,labels:string,score:double,detections:array<struct<start:int,stop:int,label:string,priority:int,id:int,score:double>>>"
 ADDED = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
 
-#: label: (keyword that must stand in the text, pattern of the names). Versions of a family are made below.
+#: label: (keywords of which one must stand in the text, pattern of the names). Versions of a family are made below.
 FAMILIES: dict[str, tuple[str, str]] = {
-    "mit": ("mit", r"(?:mit|expat|mit x11|x11 mit)"),
+    "mit": ("mit expat", r"(?:mit|expat|mit x11|x11 mit)"),
     "x11": ("x11", r"x11"),
     "isc": ("isc", r"isc"),
     "zlib": ("zlib", r"(?:zlib|zlib libpng)"),
     "bsl-1.0": ("boost", r"boost(?: software)?"),
     "wtfpl": ("wtfpl", r"wtfpl"),
     "unlicense": ("unlicense", r"(?:the )?unlicense"),
-    "bsd-0-clause": ("bsd", r"(?:0bsd|bsd 0 clause|zero clause bsd)"),
-    "bsd-2-clause": ("bsd", r"(?:bsd 2 clause|(?:2|two) clause bsd|simplified bsd|freebsd)"),
+    "bsd-0-clause": ("bsd 0bsd", r"(?:0bsd|bsd 0 clause|zero clause bsd)"),
+    "bsd-2-clause": ("bsd freebsd", r"(?:bsd 2 clause|(?:2|two) clause bsd|simplified bsd|freebsd)"),
     "bsd-3-clause": ("bsd", r"(?:bsd 3 clause|(?:3|three) clause bsd|new bsd|modified bsd|revised bsd)"),
     "bsd-4-clause": ("bsd", r"(?:bsd 4 clause|(?:4|four) clause bsd|original bsd)"),
     "bsd": ("bsd", r"bsd"),
     "artistic": ("artistic", r"artistic"),
     "artistic-2": ("artistic", r"artistic(?: license)?(?: version)? 2(?: 0)?"),
-    "python-2": ("psf", r"(?:python 2 0|psf 2 0|psf)"),
+    "python-2": ("psf python", r"(?:python 2 0|psf 2 0|psf)"),
     "php-3": ("php", r"php(?: 3 01| 3 0)?"),
     "ruby": ("ruby", r"ruby"),
     "openssl": ("openssl", r"openssl"),
@@ -52,9 +52,9 @@ FAMILIES: dict[str, tuple[str, str]] = {
     "ncsa": ("ncsa", r"(?:university of illinois )?ncsa(?: open source)?"),
     "ms-pl": ("microsoft", r"microsoft public"),
     "ms-rl": ("microsoft", r"microsoft reciprocal"),
-    "upl-1": ("upl", r"(?:universal permissive|upl)(?: 1 0)?"),
-    "ofl-1.1": ("ofl", r"(?:sil )?(?:open font|ofl)(?: 1 1)?"),
-    "odbl": ("odbl", r"(?:open database|odbl)(?: 1 0)?"),
+    "upl-1": ("upl permissive", r"(?:universal permissive|upl)(?: 1 0)?"),
+    "ofl-1.1": ("ofl font", r"(?:sil )?(?:open font|ofl)(?: 1 1)?"),
+    "odbl": ("odbl database", r"(?:open database|odbl)(?: 1 0)?"),
     "cc0": ("cc0", r"cc0(?: 1 0)?(?: universal)?"),
     "apache-1": ("apache", r"apache(?: software)? 1(?: [01])?"),
     "apache": ("apache", r"apache"),
@@ -87,7 +87,7 @@ CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 
 @dataclass(frozen=True)
 class Signature:
-    """A rule: where keyword (a whole word) stands in a text, pattern is tried; it matches whole words."""
+    """A rule: where one of the words of keyword stands in a text, pattern is tried; every match has one of them, and whole words."""
 
     label: str
     keyword: str
@@ -106,7 +106,7 @@ def signatures() -> list[Signature]:
     names += [(f"cc-{k}", "cc", rf"cc {w}") for k, w in CC_KINDS.items()]
     names += [(f"cc-{k}", "commons", rf"creative commons {w}") for k, w in CC_WORDS.items()]
     names += [(label, key, name) for label, (key, name) in FAMILIES.items()]
-    short = {label for label, key, name in names if key == "cc" or key.endswith("pl") or key in ("wtfpl", "cddl", "cc0", "commons", "unlicense")}
+    short = {label for label, keys, _ in names if (key := keys.split()[0]) == "cc" or key.endswith("pl") or key in ("wtfpl", "cddl", "cc0", "commons", "unlicense")}
     out = [Signature(f"cc-{k}-{v}", "creativecommons", rf"creativecommons org licenses {w} {said(v)}", 5, 1.0) for k, w in CC_KINDS.items() for v in CC_VERSIONS]
     for label, key, name in names:
         out.append(Signature(label, key, rf"spdx licen[cs]e identifier {name}(?: only| or later)?", 5, 1.0))
@@ -122,7 +122,7 @@ def signatures() -> list[Signature]:
         Signature("apache-2", "apache", r"www apache org licenses license 2 0", 5, 1.0),
         Signature("gpl", "gnu", r"www gnu org licenses(?: gpl(?: \d 0)?)?", 4, 0.8),
         Signature("mit", "opensource", r"opensource org licenses mit", 5, 1.0),
-        Signature("unlicense", "encumbered", r"free and unencumbered software released into the public domain", 4, 0.9),
+        Signature("unlicense", "unencumbered", r"free and unencumbered software released into the public domain", 4, 0.9),
         Signature("public-domain", "domain", r"(?:dedicated to|released into|in) the public domain", 3, 0.7),
         Signature("proprietary", "reserved", r"(?:copyright(?: \w+){0,6} )?all rights reserved", 1, 0.4),
     ]
@@ -130,12 +130,12 @@ def signatures() -> list[Signature]:
 
 
 def _by_keyword(rules: list[Signature]) -> Column:
-    """array<struct<key, rules>>: a keyword is looked up once for all its rules. One literal, folded when the plan is made."""
+    """array<struct<keys, rules>>: keywords are looked up once for all their rules. One literal, folded when the plan is made."""
     keys: dict[str, list[dict]] = {}
     for k, r in enumerate(rules):
         keys.setdefault(r.keyword, []).append({"id": k, "label": r.label, "rx": f" {r.pattern}(?= )", "priority": r.priority, "score": r.score})
-    table_ = json.dumps([{"key": f" {key} ", "rules": own} for key, own in keys.items()])
-    return F.from_json(F.lit(table_), "array<struct<key:string,rules:array<struct<id:int,label:string,rx:string,priority:int,score:double>>>>")
+    table_ = json.dumps([{"keys": [f" {k} " for k in key.split()], "rules": own} for key, own in keys.items()])
+    return F.from_json(F.lit(table_), "array<struct<keys:array<string>,rules:array<struct<id:int,label:string,rx:string,priority:int,score:double>>>>")
 
 
 def words_of(text: Column) -> Column:
@@ -189,7 +189,7 @@ def detections(norm: Column, rules: list[Signature]) -> Column:
         return let(F.struct(F.regexp_extract_all(t, r["rx"], F.lit(0)).alias("hits"), F.split(t, r["rx"]).alias("gaps")), walk)
 
     def scan(t: Column) -> Column:
-        tried = F.filter(_by_keyword(rules), lambda k: F.contains(t, k["key"]))
+        tried = F.filter(_by_keyword(rules), lambda k: F.exists(k["keys"], lambda x: F.contains(t, x)))
         found = F.flatten(F.transform(tried, lambda k: F.flatten(F.transform(k["rules"], lambda r: intervals(t, r)))))
 
         def beaten(x: Column, y: Column) -> Column:
@@ -207,7 +207,7 @@ def licenses(df: DataFrame, text: str = "text", rules: list[Signature] | None =
     """df with ADDED: the words, the base phrases' places, both kinds of labels, the score and the detections themselves."""
     rules = signatures() if rules is None else rules
 
-    keywords = F.array(*[F.lit(k) for k in sorted({r.keyword for r in rules} | set(BASE_KEYS))])
+    keywords = F.array(*[F.lit(k) for k in sorted({k for r in rules for k in r.keyword.split()} | set(BASE_KEYS))])
 
     def told(x: Column) -> Column:
         starts = F.transform(x["base"], lambda b: b["start"])

@@ -1,6 +1,8 @@
 """Quality rules and license scans against plain Python."""
 
 import collections
+import dataclasses
+import itertools
 import random
 import re
 
@@ -92,6 +94,37 @@ def test_detections(spark):
     assert L.licenses(df.limit(0)).collect() == []
 
 
+def spellings(tree):
+    """A text for each way through the alternatives and options of a parsed pattern."""
+    parts = []
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            parts.append([chr(arg)])
+        elif op == "IN":
+            parts.append([chr(arg[0][1]) if str(arg[0][0]) == "LITERAL" else "1" if "DIGIT" in str(arg[0][1]) else "w"])
+        elif op == "SUBPATTERN":
+            parts.append(spellings(arg[3]))
+        elif op == "BRANCH":
+            parts.append([x for branch in arg[1] for x in spellings(branch)])
+        else:
+            assert op == "MAX_REPEAT"
+            parts.append([x * n for n in (arg[0], arg[0] + 1) for x in spellings(arg[2])])
+    return sorted({"".join(x) for x in itertools.product(*parts)})
+
+
+def test_every_spelling_has_a_keyword(spark):
+    for s in L.signatures():
+        for text in spellings(re._parser.parse(s.pattern)):
+            assert set(s.keyword.split()) & set(text.split()), (s, text)
+    names = [x for _, name in L.FAMILIES.values() for x in spellings(re._parser.parse(name))]
+    df = spark.createDataFrame([(f"{x} zzz",) for n in names for x in (f"{n} license", f"SPDX-License-Identifier: {n}")], "text string").repartition(4)
+    scan = lambda rules: {r["text"]: (r["labels"], r["score"]) for r in L.licenses(df, rules=rules).collect()}
+    gated = scan(None)
+    assert gated == scan([dataclasses.replace(s, keyword="zzz") for s in L.signatures()])
+    assert gated["expat license zzz"] == ("mit", 0.7) and gated["SPDX-License-Identifier: 0bsd zzz"] == ("bsd-0-clause", 1.0)
+
+
 def test_no_python_on_the_native_path(spark):
     sf = "/root/testdata/sf0.001"
     for q in (Q.op9_quality_rules, L.op10_license_scan):
