@@ -12,11 +12,12 @@ def _shared(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/folioq/{name}-{uuid.uuid4().hex}"
 
 
-def followed(starts: DataFrame, links: DataFrame, most: int = 1000) -> DataFrame:
+def followed(starts: DataFrame, links: DataFrame, most: int | None = None) -> DataFrame:
     """(chain, url, depth): from each start (url, chain) along links (url, next), each page once per chain.
 
     A round joins the newest pages with the links and leaves out what their chain has seen. Every round's pages are written
-    to the shared folder, so plans don't grow with the depth and a lost executor costs one round.
+    to the shared folder, so plans don't grow with the depth and a lost executor costs one round. It ends when a round
+    adds nothing; pages deeper than `most`, if given, are an error.
     """
     spark = starts.sparkSession
     path = _shared(spark, "chain")
@@ -24,12 +25,14 @@ def followed(starts: DataFrame, links: DataFrame, most: int = 1000) -> DataFrame
     starts.select("chain", "url", F.lit(0).alias("depth")).dropDuplicates(["chain", "url"]).write.parquet(f"{path}/depth=0")
     read = lambda *depths: spark.read.schema(schema).parquet(*[f"{path}/depth={d}" for d in depths])
     depth = 0
-    while depth < most and read(depth).limit(1).count():
+    while read(depth).limit(1).count():
         ahead = read(depth).join(links, "url").select("chain", F.col("next").alias("url")).where("url IS NOT NULL AND url <> ''").distinct()
         known = ahead.join(links.select("url").distinct(), "url", "left_semi").select("chain", "url")
         fresh = known.join(read(*range(depth + 1)).select("chain", "url"), ["chain", "url"], "left_anti")
         depth += 1
         fresh.select("chain", "url", F.lit(depth).alias("depth")).write.parquet(f"{path}/depth={depth}")
+        if most is not None and depth > most and read(depth).limit(1).count():
+            raise ValueError(f"chains go on beyond depth {most}")
     return read(*range(depth + 1))
 
 

@@ -1,5 +1,8 @@
 """Operators by example: merges, graphs, chapters, functions, streams."""
 
+import inspect
+
+import pytest
 from pyspark.sql import functions as F
 
 from folioq.functions import host, text as T, titles, urls as U
@@ -73,6 +76,15 @@ def test_recursion(spark):
     assert [(r["index"], r["title"]) for r in recurse.catalogue(ch, chain).orderBy("index").collect()] == [(0, "A"), (1, "B")]
 
 
+def test_recursion_has_no_silent_bound(spark):
+    links = spark.createDataFrame([("p1", "p2"), ("p2", "p3"), ("p3", "p4"), ("p4", None)], "url string, next string")
+    starts = spark.createDataFrame([("p1", "P")], "url string, chain string")
+    assert inspect.signature(recurse.followed).parameters["most"].default is None
+    assert recurse.followed(starts, links, most=3).count() == 4
+    with pytest.raises(ValueError):
+        recurse.followed(starts, links, most=2)
+
+
 def test_joins_and_positions(spark):
     shelf = spark.createDataFrame([("u1", "n", "a"), ("u2", "n", "a"), ("local-1", "n", "a")], "bookUrl string, name string, author string")
     gone = shelf.where("bookUrl = 'u1'")
