@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: The class that every contract here splits words by: a space and the controls from tab to carriage return.
@@ -15,9 +20,17 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of the application's where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local master (driver and tasks on one machine) gets a folder of the application's; a cluster
+    has none that all could read, so there it's an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    return (path or f"/tmp/checkpoints/folioq-{spark.sparkContext.applicationId}").rstrip("/")
+    if path is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"{tempfile.gettempdir()}/folioq-{spark.sparkContext.applicationId}"
+    return path.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -37,16 +50,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@lru_cache(maxsize=64)
+def store_of(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return pafs.FileSystem.from_uri(path if re.match("[a-zA-Z][a-zA-Z0-9+.-]*:", path) else f"file://{path}")
+
+
+def dropped(*tables: DataFrame | str) -> None:
+    """Removes tables that `written` made, or folders, when nothing is to be read from them any more."""
+    spark = SparkSession.getActiveSession()
+    for t in tables:
+        for path in [t] if isinstance(t, str) else sorted({f.rpartition("/")[0] for f in t.inputFiles()}):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def collected(spark: SparkSession) -> None:
+    """Lets Spark's cleaner find the shuffles of finished jobs: it removes their files when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
-    """While a job runs, Arrow batches of so many rows: whole texts are long, and a batch stands in memory several times."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> Iterator[None]:
+    """While a job runs, Arrow batches of so many rows and bytes: whole texts are long, and a batch stands in memory several times."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def partitions(spark: SparkSession) -> int:
