@@ -130,3 +130,31 @@ def test_no_python_on_the_native_path(spark):
     for q in (Q.op9_quality_rules, L.op10_license_scan):
         plan = q(spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_every_text_signature_is_found(spark):
+    rows = []
+    for k, (label, _, pattern, _, _) in enumerate(L.TEXTS):
+        rows += [(f"{k}/{j}", label, t + " zzz") for j, t in enumerate(spellings(re._parser.parse(pattern)))]
+    df = spark.createDataFrame(rows, "id string, want string, text string").repartition(4)
+    scan = lambda rules: {r["id"]: r for r in L.licenses(df, rules=rules).collect()}
+    gated, whole = scan(None), scan([dataclasses.replace(s, keyword="zzz") for s in L.signatures()])
+    for i, want, text in rows:
+        assert gated[i]["detections"] == whole[i]["detections"] and gated[i]["detections"], text
+        assert want in gated[i]["labels"].split(",") or any(d["stop"] - d["start"] >= len(text.split()) - 1 for d in gated[i]["detections"]), (want, gated[i]["labels"], text)
+
+
+def test_suppression_against_all_pairs(spark):
+    rnd = random.Random(8)
+    parts = ["licensed under the mit license", "mit license", "under the apache license version 2", "gpl", "gnu gpl v3", "cc by nc 4 0", "plain words", "spdx license identifier mpl 2 0", "all rights reserved"]
+    texts = [" ".join(rnd.choice(parts) for _ in range(n)) for n in (1, 5, 40, 300, 2000)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string")
+    got = {r["doc_id"]: r["detections"] for r in L.licenses(df).collect()}
+    rules = L.signatures()
+    for k, t in enumerate(texts[:4]):
+        norm, found = f" {t} ", []
+        for i, r in enumerate(rules):
+            found += [(norm[: m.start()].count(" "), norm[: m.end()].count(" "), i, r) for m in re.finditer(f" {r.pattern}(?= )", norm)]
+        lose = lambda x: any(y[0] <= x[0] and y[1] >= x[1] and (y[1] - y[0], y[3].priority, -y[2]) > (x[1] - x[0], x[3].priority, -x[2]) for y in found)  # noqa: B023, E731
+        assert sorted((d["start"], d["stop"], d["id"]) for d in got[k]) == sorted((a, b, i) for a, b, i, r in found if not lose((a, b, i, r)))
+    assert len(got[4]) > 1000
