@@ -93,6 +93,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def packed(df: DataFrame, by: str, name: str = "rows") -> DataFrame:
+    """(by, rows: array of structs of the other columns): equal keys of an Arrow batch as one row.
+
+    For joins on keys of which one may have very many rows: it then has a row for each batch instead, and `unpacked`
+    after the join gives the rows back. An array is no larger than its batch.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.types import ArrayType, StructField, StructType
+
+    rest = [c for c in df.columns if c != by]
+    schema = StructType([df.schema[by], StructField(name, ArrayType(StructType([df.schema[c] for c in rest])))])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch.column(0).dictionary_encode(null_encoding="encode")
+            at = codes.indices.to_numpy()
+            order = np.argsort(at, kind="stable")
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(codes.dictionary)))]).astype(np.int32)
+            rows = batch.take(pa.array(order))
+            structs = pa.StructArray.from_arrays(rows.columns[1:], names=rest)
+            yield pa.RecordBatch.from_arrays([codes.dictionary, pa.ListArray.from_arrays(pa.array(cuts), structs)], names=[by, name])
+
+    return df.select(by, *rest).mapInArrow(made, schema)
+
+
+def unpacked(df: DataFrame, name: str = "rows") -> DataFrame:
+    return df.select(*[c for c in df.columns if c != name], F.inline(name))
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df less the columns that an operator is about to add: an input column of the same name gives way."""
     taken = {n.lower() for n in names}

@@ -21,15 +21,13 @@ import tarfile
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from folioq.llm.common import fresh_path, table, without, written
+from folioq.llm.common import fresh_path, store_of, table, without, written
 
 WIDTH, SHARD_BYTES, LEVEL = 192, 64 << 20, 1
 SIGNATURE, HEADER = b"\x89PNG\r\n\x1a\n", 33
@@ -93,16 +91,11 @@ def feature_of(payload: bytes) -> str:
     return f"{bits:016x}-{round(mean * 1000):06d}-{round(deviation * 1000):06d}"
 
 
-@lru_cache(maxsize=8)
-def _store(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-
-
 class Shard:
     """An open tar file in the store; renamed when it's closed."""
 
     def __init__(self, folder: str):
-        self.fs, root = _store(folder)
+        self.fs, root = store_of(folder)
         self.fs.create_dir(root, recursive=True)
         self.name = f"{uuid.uuid4().hex}.tar"
         self.temporary, self.final = f"{root}/.{self.name}.part", f"{root}/{self.name}"
@@ -174,7 +167,7 @@ class Reader:
     def range(self, shard: str, offset: int, length: int) -> bytes:
         if shard != self.path:
             folder, _, name = shard.rpartition("/")
-            fs, root = _store(folder)
+            fs, root = store_of(folder)
             self.path, self.file = shard, fs.open_input_file(f"{root}/{name}")
         return self.file.read_at(length, offset)
 
@@ -201,6 +194,11 @@ def _mapped(df: DataFrame, added: dict[str, str], of) -> DataFrame:
     return df.mapInArrow(made, schema)
 
 
+def by_shard(index: DataFrame) -> DataFrame:
+    """The index dealt by shard, in the order of the payloads: tasks follow the payloads' bytes, not the index's."""
+    return index.repartition(max(2, 2 * index.select("shard").distinct().count()), "shard").sortWithinPartitions("shard", "offset")
+
+
 def with_headers(index: DataFrame) -> DataFrame:
     """The index with HEAD, from range reads of the images' headers alone."""
     return _mapped(index, HEAD, lambda reader, shard, offset, length, digest: (*header_of(reader.range(shard, offset, min(HEADER, length))), "png"))
@@ -221,5 +219,5 @@ def with_features(index: DataFrame) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = with_features(with_headers(store(table(spark, sf_dir, "documents").select("doc_id", "text"))))
-    return media.select("doc_id", "n_bytes", "payload_bytes", F.col("read_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth")
+    media = with_features(with_headers(by_shard(store(table(spark, sf_dir, "documents").select("doc_id", "text")))))
+    return media.select("doc_id", "n_bytes", "payload_bytes", F.col("read_sha256").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth", F.regexp_extract("shard", "[^/]*$", 0).alias("shard"), "offset", "length")

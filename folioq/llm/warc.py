@@ -8,6 +8,9 @@ writes under temporary names; what it has written goes into a manifest table, wh
 the manifest then get their final names, which depend on the records alone, and a reader takes the manifest's files only,
 so leftovers of lost tasks are never read.
 
+Every file begins with a warcinfo record. Control characters and outer blanks of a URL, which a header can't hold, are
+percent-encoded in the target, and the URL itself is kept in base64 beside it; reading gives it back.
+
 A null page is an empty payload. A null URL is written as an empty target. A null page_id gets a record like any other;
 it is last among equal payloads, and if no other has an id, the copies refer to null. Repeated rows get a record each:
 of equal ids, one is the response and the others revisit it. An empty table makes an empty manifest and no files. The
@@ -20,6 +23,7 @@ import base64
 import bisect
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,10 +33,11 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from folioq.llm.common import fresh_path, partitions, table, written
-from folioq.llm.media import _store
+from folioq.llm.common import dropped, fresh_path, partitions, store_of, table, written
 
-ROLL_BYTES, LEVEL, LEAST = 32 << 20, 3, 100
+#: A part holds about PART_BYTES of payloads, so that there are more parts, not larger ones, for more pages.
+ROLL_BYTES, PART_BYTES, LEVEL, LEAST = 32 << 20, 48 << 20, 3, 100
+ODD = re.compile(r"[\x00-\x1f\x7f]|^ | $")
 DATE = "2024-01-01T00:00:00Z"  # a run's date is its caller's to give: archives of equal rows are equal
 MANIFEST = "part int, file int, temporary string, name string, n_records bigint, n_bytes bigint, sha256 string"
 KEY = ("digest", "nul", "num", "link")
@@ -46,12 +51,25 @@ def _fields(version: str, pairs: list[tuple[str, str]]) -> bytes:
     return (version + "\r\n" + "".join(f"{k}: {v}\r\n" for k, v in pairs) + "\r\n").encode()
 
 
+def _sha1(block: bytes) -> str:
+    return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+
+
+def info(name: str, date: str) -> bytes:
+    """The record that a file begins with."""
+    block = b"format: WARC File Format 1.1\r\nsoftware: folioq\r\n"
+    pairs = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id("warcinfo", None, name, 0)), ("WARC-Date", date), ("WARC-Filename", name), ("WARC-Block-Digest", _sha1(block)), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(block)))]
+    return _fields("WARC/1.1", pairs) + block + b"\r\n\r\n"
+
+
 def record(kind: str, url: str, page_id: int | None, payload: bytes, digest: str, identity: str, refers: tuple[str, int | None] | None, date: str) -> bytes:
     """One record. A revisit's block holds the HTTP head alone, its headers the full payload's digest and length."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(payload)).encode() + b"\r\n\r\n"
     block = http + (payload if kind == "response" else b"")
-    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
-    pairs = [("WARC-Type", kind), ("WARC-Record-ID", identity), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Block-Digest", sha1(block)), ("Content-Type", "application/http; msgtype=response"), ("X-Payload-Length", str(len(payload)))]
+    target = ODD.sub(lambda m: f"%{ord(m[0]):02X}", url)
+    pairs = [("WARC-Type", kind), ("WARC-Record-ID", identity), ("WARC-Date", date), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Block-Digest", _sha1(block)), ("Content-Type", "application/http; msgtype=response"), ("X-Payload-Length", str(len(payload)))]
+    if target != url:
+        pairs.append(("X-Page-URL", base64.b64encode(url.encode()).decode()))
     if page_id is not None:
         pairs.append(("X-Page-ID", str(page_id)))
     if refers:
@@ -64,43 +82,51 @@ def record(kind: str, url: str, page_id: int | None, payload: bytes, digest: str
 class _Roll:
     """Files of one part, written in order under temporary names."""
 
-    def __init__(self, folder: str, part: int, limit: int):
-        self.fs, self.root = _store(folder)
+    def __init__(self, folder: str, part: int, limit: int, date: str):
+        self.fs, self.root = store_of(folder)
         self.fs.create_dir(self.root, recursive=True)
-        self.part, self.limit, self.attempt = part, limit, uuid.uuid4().hex
+        self.part, self.limit, self.date, self.attempt = part, limit, date, uuid.uuid4().hex
         self.done: list[tuple] = []
         self.out = None
 
     def add(self, body: bytes) -> None:
         if self.out is None:
             self.temporary = f".{self.part:06d}-{len(self.done):05d}.{self.attempt}.part"
+            self.name = f"{self.part:06d}-{len(self.done):05d}.warc.gz"
             self.out, self.n, self.size, self.sha = self.fs.open_output_stream(f"{self.root}/{self.temporary}"), 0, 0, hashlib.sha256()
+            self.put(info(self.name, self.date))
+        self.put(body)
+        self.n += 1
+        if self.size >= self.limit:
+            self.roll()
+
+    def put(self, body: bytes) -> None:
         member = gzip.compress(body, LEVEL, mtime=0)
         self.out.write(member)
         self.sha.update(member)
-        self.n, self.size = self.n + 1, self.size + len(member)
-        if self.size >= self.limit:
-            self.roll()
+        self.size += len(member)
 
     def roll(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.done.append((self.part, len(self.done), self.temporary, f"{self.part:06d}-{len(self.done):05d}.warc.gz", self.n, self.size, self.sha.hexdigest()))
+            self.done.append((self.part, len(self.done), self.temporary, self.name, self.n, self.size, self.sha.hexdigest()))
             self.out = None
 
 
 def write(df: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, date: str = DATE, least: int = LEAST) -> DataFrame:
     """Archives df (page_id, url, html) in folder and returns the manifest. Payloads of `least` bytes or more are kept once."""
-    n = max(2, partitions(df.sparkSession))
     rows = df.select("page_id", F.coalesce("url", F.lit("")).alias("link"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.select(F.sha2("html", 256).alias("digest"), F.col("page_id").isNull().alias("nul"), F.coalesce(F.col("page_id").cast("long"), F.lit(0)).alias("num"), "link", F.octet_length("html").alias("size"), "html")
-    light = rows.select("digest", "nul", "num", "link", "size")
+    light = written(rows.select("digest", "nul", "num", "link", "size"), "warc-keys")
+    total = light.agg(F.sum("size")).first()[0] or 0
+    n = max(2, partitions(df.sparkSession), -(-total // PART_BYTES))
     pick = F.xxhash64("num", "link")
     picks = sorted(tuple(r["k"]) for r in light.groupBy(F.pmod(pick, F.lit(8 * n))).agg(F.min_by(F.struct(*KEY), pick).alias("k")).collect())
     cuts = picks[8::8]  # n at most
     cut_digests = sorted({c[0] for c in cuts})
     heads = light.where(F.col("digest").isin(cut_digests)) if cut_digests else light.limit(0)
     heads = {r["digest"]: tuple(r["k"]) for r in heads.groupBy("digest").agg(F.min(F.struct("nul", "num", "link")).alias("k")).collect()}
+    dropped(light)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +143,7 @@ def write(df: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, date: str =
                     if roll:
                         roll.roll()
                         manifest += roll.done
-                    roll, last, same = _Roll(folder, part, roll_bytes), None, None
+                    roll, last, same = _Roll(folder, part, roll_bytes, date), None, None
                 page_id, key = None if nul else num, (digest, nul, num, link)
                 copy, same = (copy + 1, same) if key == same else (0, key)  # equal keys are never cut apart
                 identity = record_id(digest, page_id, link, copy)
@@ -137,11 +163,11 @@ def write(df: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, date: str =
         if manifest:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*manifest), (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["part", "file", "temporary", "name", "n_records", "n_bytes", "sha256"])
 
-    parts = rows.mapInArrow(placed, StructType([*rows.schema.fields, StructField("part", IntegerType())])).repartition(n, "part").sortWithinPartitions("part", *KEY)
+    parts = rows.mapInArrow(placed, StructType([*rows.schema.fields, StructField("part", IntegerType())])).repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", *KEY)
     manifest = written(parts.mapInArrow(wrote, MANIFEST), "warc-manifest")
 
     def committed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _store(folder)
+        fs, root = store_of(folder)
         for batch in batches:
             for r in batch.to_pylist():
                 if fs.get_file_info(f"{root}/{r['temporary']}").type != pa.fs.FileType.NotFound:  # else an earlier attempt has done it
@@ -179,7 +205,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
     """Every record of the manifest's files; digests are held against the blocks and payloads."""
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _store(folder)
+        fs, root = store_of(folder)
         kinds = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string())]
         for batch in batches:
             for name in batch.column(0).to_pylist():
@@ -187,6 +213,8 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as f:
                     for body in members(f):
                         h, block = parsed(body)
+                        if h["warc-type"] == "warcinfo":
+                            continue
                         payload, digest, size = block.partition(b"\r\n\r\n")[2], h["warc-payload-digest"].removeprefix("sha256:"), int(h["x-payload-length"])
                         if "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode() != h["warc-block-digest"]:
                             raise ValueError(f"{name}: a block's digest is wrong")
@@ -195,15 +223,15 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                             if "sha256:" + digest != h["warc-payload-digest"]:
                                 raise ValueError(f"{name}: a payload's digest is wrong")
                         number = lambda k: int(h[k]) if k in h else None  # noqa: B023, E731
-                        rows.append((number("x-page-id"), h["warc-target-uri"], h["warc-type"], size, digest, number("x-refers-to-page"), h["warc-record-id"]))
+                        url = base64.b64decode(h["x-page-url"]).decode() if "x-page-url" in h else h["warc-target-uri"]
+                        rows.append((number("x-page-id"), url, h["warc-type"], size, digest, number("x-refers-to-page"), h["warc-record-id"]))
                         if len(rows) >= 4096:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], names=[k for k, _ in kinds])
                             rows = []
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], names=[k for k, _ in kinds])
 
-    n = max(2, partitions(manifest.sparkSession))
-    return manifest.select("name").repartition(n, "name").mapInArrow(opened, "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, record_id string")
+    return manifest.select("name").repartition(max(2, manifest.count())).mapInArrow(opened, "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, record_id string")
 
 
 def op8_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import duckdb
 from pyarrow import fs
 
 from folioq.llm import media as M, warc as W
+from folioq.llm.common import store_of
 
 
 def test_image_round_trip():
@@ -39,7 +40,7 @@ def test_media_edges(spark):
     assert [r["n_bytes"] for r in rows] == [0, 0, 0, 192] and len({r["media_sha256"] for r in rows[:3]}) == 1 and rows[0]["kind"] == "png"
     assert M.store(df.limit(0)).collect() == []
     folder, _, name = rows[3]["shard"].rpartition("/")
-    store, root = M._store(folder)
+    store, root = store_of(folder)
     with store.open_input_stream(f"{root}/{name}") as f, tarfile.open(fileobj=io.BytesIO(f.read())) as t:
         member = next(m for m in t.getmembers() if m.name == f"{rows[3]['payload_sha256']}.png")
         assert (member.offset_data, member.size) == (rows[3]["offset"], rows[3]["length"]) and hashlib.sha256(t.extractfile(member).read()).hexdigest() == rows[3]["media_sha256"]
@@ -73,3 +74,16 @@ def test_warc_null_heads(spark, tmp_path):
     df = spark.createDataFrame([(None, "a", "z" * 150), (None, "b", "z" * 150)], "page_id bigint, url string, html string")
     got = W.read(W.write(df, str(tmp_path / "n")), str(tmp_path / "n")).collect()
     assert collections.Counter((r["record_type"], r["refers_to"]) for r in got) == {("response", None): 1, ("revisit", None): 1}
+
+
+def test_odd_urls(spark, tmp_path):
+    urls = ["http://u/a\r\n\r\nb", "http://u/\r\nWARC-Type: revisit", " http://u/ ", "http://u/\t%0D\x00", "é: x", ""]
+    df = spark.createDataFrame([(k, u, f"page {k} " * 20) for k, u in enumerate(urls)], "page_id bigint, url string, html string")
+    m = W.write(df, str(tmp_path / "o"))
+    got = {r["page_id"]: (r["url"], r["record_type"]) for r in W.read(m, str(tmp_path / "o")).collect()}
+    assert got == {k: (u, "response") for k, u in enumerate(urls)}
+    store, root = store_of(str(tmp_path / "o"))
+    for r in m.collect():
+        with store.open_input_stream(f"{root}/{r['name']}", compression=None) as f:
+            heads = [W.parsed(b)[0]["warc-type"] for b in W.members(f)]
+        assert heads[0] == "warcinfo" and heads.count("warcinfo") == 1 and len(heads) == r["n_records"] + 1
