@@ -5,8 +5,8 @@ A byte-pair encoding is the one path through the lattice of pieces on which ever
 library's encoding as its only path of finite weight. A giant document is cut into chunks. A boundary's states are the
 pieces that end there or reach across it; a chunk gives the max-plus matrix of the best weight from each state at its
 left boundary to each at its right one. Matrices are multiplied in a balanced tree, which settles the states of all
-boundaries, and each chunk is then backtraced on its own. Chunks are rows, so one document's work is spread out, and no
-task needs more of its text than a chunk. Other documents are encoded whole.
+boundaries, and each chunk is then backtraced on its own. Chunks are rows, so one document's work is spread over tasks;
+only the task that cuts a document, and the one that joins its ids, hold it whole. Other documents are encoded whole.
 
 A null text is encoded like an empty one: no pieces. Repeated rows are encoded one by one. Columns of the input that
 have an output's name give way to it. Decoding gives the text back, but for the piece mark U+2581, which stands for a
@@ -26,7 +26,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from folioq.llm.common import table, without, written
 from folioq.llm.pieces import Spans, default_model, model, spans
 
-GIANT, CHUNK = 65_536, 16_384
+GIANT, CHUNK, CHUNKS_A_TASK = 65_536, 16_384, 4
 MARK = "▁"
 State = tuple[int, int]  # code points beyond the boundary, and of the whole piece; (0, 0) before the text
 
@@ -195,7 +195,10 @@ def _scanned(df: DataFrame, text: str, path: str, chunk: int) -> DataFrame:
                     yield pa.RecordBatch.from_pylist([{row: r, "k": k, "n": len(cuts), "lo": lo, "left": a, "right": b, "part": norm[lo : b + halo]}], schema=pa.schema([(row, pa.int64()), ("k", pa.int32()), ("n", pa.int32()), ("lo", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("part", pa.string())]))
 
     parts = rows.select(row, text).mapInArrow(cut, f"{row} bigint, k int, n int, lo bigint, `left` bigint, `right` bigint, part string")
-    parts = written(parts.repartition(row, "k"), "chunks")
+    parts = written(parts, "chunks")
+    # a chunk takes some tenths of a second: tasks follow the number of chunks, not their few bytes
+    n = max(2, -(-parts.count() // CHUNKS_A_TASK))
+    parts = parts.repartition(n, row, "k")
 
     def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = spans(path)
@@ -230,7 +233,7 @@ def _scanned(df: DataFrame, text: str, path: str, chunk: int) -> DataFrame:
                 ids.append(backtrace(s, x.part, x.left, x.right, source, goal, x.lo))
             yield pd.DataFrame({row: f[row], "k": f["k"], "ids": ids})
 
-    ids = parts.join(chosen, [row, "k"]).mapInPandas(traced, f"{row} bigint, k int, ids array<int>")
+    ids = parts.join(chosen.repartition(n, row, "k"), [row, "k"]).mapInPandas(traced, f"{row} bigint, k int, ids array<int>")
     ids = ids.groupBy(row).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("piece_ids"), F.count("*").alias("n_chunks"))
     return rows.join(ids, row).drop(row).withColumn("n_tokens", F.size("piece_ids").cast("long"))
 
