@@ -30,10 +30,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from folioq.llm.common import small_batches, table, without, written
+from folioq.llm.common import collected, dropped, packed, small_batches, table, unpacked, without, written
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
-FAN, ROWS, QUERIES, FEW = 8, 200_000, 8_192, 512
+FAN, ROWS, QUERIES = 8, 200_000, 8_192
 #: For similar texts: words to a shingle.
 LONG = 5
 MASK64 = (1 << 64) - 1
@@ -141,11 +141,11 @@ class GrayIndex:
             above = np.repeat(patterns[k + 1][1], FAN)[: len(pattern)] if k + 1 < len(patterns) else np.full(len(pattern), MASK64, dtype=np.uint64)
             self.levels.append((pattern, ~varies & above, np.bitwise_count(varies).astype(np.int64)))  # own bits: fixed here, not above
 
-    def links(self, radius: int, every: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of positions that connect, through each other, all that lie within radius; with `every`, each such pair."""
-        n, top, step = len(self.levels[0][0]), len(self.levels) - 1, FEW if every else QUERIES
-        for first in range(0, n, step):
-            q = np.arange(first, min(n, first + step))
+    def links(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of positions that connect, through each other, all that lie within radius."""
+        n, top = len(self.levels[0][0]), len(self.levels) - 1
+        for first in range(0, n, QUERIES):
+            q = np.arange(first, min(n, first + QUERIES))
             roots = np.arange(len(self.levels[top][0]))
             query, node, off = np.repeat(q, len(roots)), np.tile(roots, len(q)), np.zeros(len(q) * len(roots), dtype=np.int64)
             for level in range(top, -1, -1):
@@ -161,7 +161,7 @@ class GrayIndex:
                     break
                 # all below are within reach, and of each other: one link and the group's own chain say so
                 whole = (off + varying[node] <= radius) & (node * width > query)
-                if not every and whole.any():
+                if whole.any():
                     yield query[whole], node[whole] * width
                     for g in np.unique(node[whole]):
                         chain = np.arange(g * width, min(n, (g + 1) * width))
@@ -191,49 +191,25 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], root: np.ndar
     return root
 
 
-def _linked(radius: int, bits: int = 64, words: int = 0, most: int = 0):
-    """Forests of the rows (t, key, fp, id and, with words, so many of a wider fingerprint), sorted by table and key.
-
-    With words, a pair counts only if the wider fingerprints differ in `most` bits or fewer.
-    """
+def _linked(radius: int, bits: int = 64):
+    """Forests of the rows (key, t, fp), sorted by key; a key's rows are of one table t."""
     fields = tables(bits)
 
-    def part(t: int, fps: np.ndarray, ids: np.ndarray, wide: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        values = permuted(fps.view(np.uint64), fields[t % 9])
+    def part(t: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        values = permuted(fps.view(np.uint64), fields[t])
         order = np.argsort(gray_rank(values), kind="stable")
-        ids, wide = ids[order], [w[order].view(np.uint64) for w in wide]
-        root = np.arange(len(ids))
-        for a, b in GrayIndex(values[order]).links(radius, bool(wide)):
-            if wide:
-                open_ = root[a] != root[b]
-                a, b = a[open_], b[open_]
-                close = sum((np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in wide), np.zeros(len(a), np.int64)) <= most
-                a, b = a[close], b[close]
-            root = forest(len(ids), iter([(a, b)]), root)
-        leaf = root != np.arange(len(ids))
-        return ids[leaf], ids[root[leaf]]
+        fps = fps[order]
+        root = forest(len(fps), GrayIndex(values[order]).links(radius))
+        leaf = root != np.arange(len(fps))
+        return fps[leaf], fps[root[leaf]]
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A block of rows ends where the key does."""
-        have = [np.empty(0, np.int64) for _ in range(4 + words)]
-
-        def done(upto: int) -> Iterator[pa.RecordBatch]:
-            for k in np.unique(have[0][:upto]):
-                here = have[0][:upto] == k
-                _, _, fp, ids, *wide = (x[:upto][here] for x in have)
-                a, b = part(int(k), fp, ids, wide)
+        for _, t, fp in _whole(batches):
+            for k in np.unique(t):
+                a, b = part(int(k), fp[t == k])
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        for batch in batches:
-            have = [np.concatenate([x, batch.column(k).to_numpy(zero_copy_only=False)]) for k, x in enumerate(have)]
-            if len(have[0]) >= ROWS:
-                change = np.flatnonzero((have[0][1:] != have[0][:-1]) | (have[1][1:] != have[1][:-1]))
-                if len(change):
-                    cut = int(change[-1]) + 1
-                    yield from done(cut)
-                    have = [x[cut:] for x in have]
-        yield from done(len(have[0]))
+                    yield _batch(a=a, b=b)
 
     return linked
 
@@ -247,14 +223,15 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius > RADIUS:
         raise ValueError(f"the tables find differences of up to {RADIUS} bits")
     rows = F.array(*[F.struct(F.lit(k).cast("bigint").alias("t"), F.col("fp").bitwiseAND(F.lit(signed(_key_mask(k)))).alias("key")) for k in range(9)])
-    keyed = classes.select("fp", F.explode(rows).alias("k")).select("k.t", "k.key", "fp", F.col("fp").alias("id")).repartition("t", "key").sortWithinPartitions("t", "key")
+    keyed = classes.select("fp", F.explode(rows).alias("k")).select(F.xxhash64("k.t", "k.key").alias("key"), "k.t", "fp").repartition("key").sortWithinPartitions("key")
     return keyed.mapInArrow(_linked(radius), "a bigint, b bigint")
 
 
 def contract(edges: DataFrame) -> DataFrame:
     """Stars (node, root) of the components of edges (a, b), by alternating large-star and small-star steps.
 
-    Each round is written to the shared folder. The join with the minimum of a node is one that AQE splits by size.
+    Each round is written to the shared folder, and the one before it removed. A node's rows are packed for the join with
+    its minimum, so that a hub's many rows don't meet in one task.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     edges = written(edges.where("a <> b").select(high.alias("a"), low.alias("b")).distinct(), "links")
@@ -266,12 +243,13 @@ def contract(edges: DataFrame) -> DataFrame:
         mark = (state["n"], state["h"])
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = unpacked(packed(both, "a").join(least, "a")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        large = written(large, "large-star")
+        large, old = written(large, "large-star"), edges
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        small = unpacked(packed(large, "a").join(least, "a")).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = written(small.where("a <> b").distinct(), "small-star")
+        dropped(old, large)
 
 
 def components(fps: DataFrame, least: Column, radius: int = RADIUS) -> DataFrame:
@@ -284,9 +262,9 @@ def _joined(classes: DataFrame, edges: DataFrame) -> DataFrame:
     """(fp, component) of classes (fp, least) that edges (a, b) of their fp connect."""
     stars = contract(edges)
     nodes = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
-    own = nodes.join(classes, nodes["node"] == classes["fp"]).select("node", "root", "least")
+    own = written(nodes.join(classes, nodes["node"] == classes["fp"]).select("node", "root", "least"), "component-nodes")
     of_root = own.groupBy("root").agg(F.min("least").alias("component"))
-    linked = own.join(of_root, "root").select(F.col("node").alias("fp"), "component")
+    linked = unpacked(packed(own.select("root", "node"), "root").join(of_root, "root")).select(F.col("node").alias("fp"), "component")
     return classes.select("fp", "least").join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
 
 
@@ -294,7 +272,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     """(key, fingerprint, component_id) of every row."""
     fps = written(fingerprints(df.select(key, text), text, shingle), "fingerprints")
     found = components(fps, F.col(key), radius)
-    return fps.join(found, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    return unpacked(packed(fps, "fp").join(found, "fp")).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def shingles(text: bytes) -> np.ndarray:

@@ -129,3 +129,12 @@ def test_edges(spark):
     kept = S.deduplicated(df).collect()
     assert sorted(r["doc_id"] or -1 for r in kept) == [-1, 1, 7] and S.deduplicated(df).columns == df.columns
     assert S.near_duplicates(df.limit(0)).collect() == [] and S.deduplicated(df.limit(0)).collect() == []
+
+
+def test_packed_rows_come_back(spark):
+    from folioq.llm.common import packed, unpacked
+
+    rows = [(k % 7 if k % 5 else None, k, f"t{k}" if k % 3 else None) for k in range(500)]
+    df = spark.createDataFrame(rows, "g int, k int, t string").repartition(3)
+    assert sorted(unpacked(packed(df, "g")).select("g", "k", "t").collect(), key=lambda r: r["k"]) == rows
+    assert packed(df, "g").count() <= 3 * 8 and packed(df.limit(0), "g").collect() == []
