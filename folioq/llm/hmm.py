@@ -40,7 +40,7 @@ from folioq.llm.common import collected, dropped, fresh_path, small_batches, sto
 from folioq.llm.recursion import Emission, Model, expected, forward
 
 STATES, WARM, ROUNDS, TOLERANCE = 8, 2, 8, 0.002
-OWN = 10
+OWN, STEP = 10, 4096
 OFTEN, ENDINGS, TAIL = 1 << 16, 1 << 12, 3
 UNKNOWN, END = OFTEN + ENDINGS, OFTEN + ENDINGS + 1
 CLASSES = OFTEN + ENDINGS + 2
@@ -67,6 +67,15 @@ def unpacked(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(unpack(x), kind)
 
 
+def pack_counts(x: np.ndarray) -> bytes:
+    """Expected counts to a 4096th, in fixed point: most of a word's states have none, so equal bytes side by side shrink well."""
+    return pack(np.ascontiguousarray(np.rint(x * STEP).astype("<i8").reshape(-1).view(np.uint8).reshape(-1, 8).T))
+
+
+def counts_of(x: bytes, states: int) -> np.ndarray:
+    return np.ascontiguousarray(unpacked(x, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1, states) / STEP
+
+
 class _Index(dict):
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
@@ -404,94 +413,107 @@ class Words:
             return np.concatenate([self.tied.emit[g] * (c / size["mass"][g])[:, None], self.tied.emit[OFTEN:]])
         counts = np.zeros((0, len(self.start)))
         if len(lexicon.own):
-            counts = np.concatenate([unpacked(x, "<f4").reshape(-1, len(self.start)) for x in _of_stretch(self.path, stretch)["counts"].to_pylist()])
+            t = _of_stretch(self.path, stretch)
+            of = dict(zip(t["cell"].to_pylist(), t["counts"].to_pylist()))  # a stretch that several tasks read has equal rows of each
+            counts = np.concatenate([counts_of(of[c], len(self.start)) for c in sorted(of)])
         return np.concatenate([_smoothed(counts, c / max(size["n"], 1), self.total, size), self.small])
 
 
-def _untied(held_in: DataFrame, path: str, size: dict, states: int, rounds: int, tied: Model, salts: int, salt: Column) -> tuple[Words, list[float]]:
+def _untied(documents: DataFrame, path: str, size: dict, states: int, rounds: int, tied: Model, salts: int, salt: Column) -> tuple[Words, list[float]]:
     """Baum-Welch over words of their own and the other units."""
-    spark, history = held_in.sparkSession, []
+    spark, history = documents.sparkSession, []
     now = Words(tied.start, tied.move, tied.emit[OFTEN:], np.zeros(states), None, tied)
-    packed = [("stretch", pa.int64()), ("cell", pa.int32()), ("places", pa.binary()), ("counts", pa.binary()), ("small", pa.binary())]
     while len(history) < rounds and _gained(history):
-        shared = spark.sparkContext.broadcast(now)
-
-        def counted(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            m, last, lexicon, counts, total = shared.value, None, None, None, 0.0
-            moves, starts, small = np.zeros((states, states)), np.zeros(states), np.zeros((SMALL + 1, states))
-
-            def done() -> pa.RecordBatch:
-                own = counts[: len(lexicon.own)]
-                small[:SMALL] += counts[len(lexicon.own) :]
-                small[SMALL] += own.sum(axis=0)
-                cells = [(last, cell, pack(lexicon.places[a:b]), pack(own[a:b].astype("<f4")), None) for cell, a, b in zip(lexicon.cells, lexicon.begin[:-1], lexicon.begin[1:]) if b > a]
-                return _batch(packed, *cells)
-
-            for stretch, lex, _, documents in _stretches(batches, path):
-                if lex is not lexicon:
-                    if lexicon is not None:
-                        yield done()
-                    last, lexicon = stretch, lex
-                    emit = m.emit(lex, stretch, size)
-                    emission, counts = Emission(emit), np.zeros(emit.shape)
-                end = np.int32(len(lex.own) + SMALL - 1)
-                total += expected(Model(m.start, m.move, emit), emission, [np.append(lex.unit[d], end) for d in documents], counts, moves, starts)
-            if lexicon is not None:
-                yield done()
-            yield _batch(packed, (None, None, None, None, pack(np.concatenate([small, moves, starts[None], np.full((1, states), total / states)]))))
-
-        got = written(held_in.mapInArrow(counted, "stretch bigint, cell int, places binary, counts binary, small binary"), "hmm-counts")
-        shared.unpersist()
-
-        def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros((SMALL + states + 3, states))
-            for (x,) in _rows(batches):
-                out += unpacked(x, "<f8").reshape(out.shape)
-            yield _told(out)
-
-        sums = _summed(got.where("small IS NOT NULL").select("small").mapInArrow(small, _kinds(states)), SMALL + states + 3, states)
-        history.append((sums[-1].sum() + size["c log c"] - size["own c log c"] + _within(size, slice(OFTEN, UNKNOWN))) / max(size["n"], 1))
+        old = now.path
+        now, gained = _round(documents, path, size, states, now, salts, salt)
+        history.append(gained)
         _log.info("untied round %d: log-likelihood %.5f a token", len(history), history[-1])
-        counts = got.where("small IS NULL").select("cell", salt, "stretch", "places", "counts")
-
-        def added(keys: int):
-            def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for (cell, *_), run in _grouped(batches, keys):
-                    whole = np.zeros((0, states))
-                    for places, c in run:
-                        at = unpacked(places, "<i4")
-                        if len(whole) <= (most := int(at.max())):
-                            whole = np.concatenate([whole, np.zeros((most + 1 - len(whole), states))])
-                        whole[at] += unpacked(c, "<f4").reshape(-1, states)
-                    yield _batch([packed[1], packed[2], packed[3]], (cell, pack(np.arange(len(whole), dtype="<i4")), pack(whole.astype("<f4"))))
-
-            return out
-
-        def returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            whole = None
-            for cell, _, kind, stretch, places, c in _rows(batches):
-                if not kind:
-                    whole = unpacked(c, "<f4").reshape(-1, states)
-                else:
-                    yield _batch([packed[0], packed[1], packed[3]], (stretch, cell, pack(whole[unpacked(places, "<i4")])))
-
-        kinds = "cell int, places binary, counts binary"
-        whole = _sorted(counts.select("cell", "salt", "places", "counts"), "cell", "salt").mapInArrow(added(2), kinds)
-        whole = written(whole if salts == 1 else _sorted(whole, "cell").mapInArrow(added(1), kinds), "hmm-totals")
-        known = whole.select("cell", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("stretch"), F.lit(None).cast("binary").alias("places"), "counts")
-        asked = counts.select("cell", "salt", F.lit(1).alias("kind"), "stretch", "places", F.lit(None).cast("binary").alias("counts"))
-        back = _sorted(known.unionByName(asked), "cell", "salt", then=("kind",)).mapInArrow(returned, "stretch bigint, cell int, counts binary")
-        old, of_words = now.path, _to_stretches(spark, back, "hmm-emissions")
-        total = sums[: SMALL + 1].sum(axis=0)
-        share = _shares(size)[OFTEN:]
-        low = _smoothed(sums[:SMALL], share, total, size)
-        low[UNKNOWN - OFTEN] = _unknown(size)
-        now = Words(*_moves(sums[SMALL + 1 :], states), low, total, of_words, None)
-        dropped(got, whole, *([old] if old else []))
+        dropped(*([old] if old else []))
         collected(spark)
     return now, history
 
 
+def _round(documents: DataFrame, path: str, size: dict, states: int, now: Words, salts: int, salt: Column) -> tuple[Words, float]:
+    """One round, and the log-likelihood of a training token before it. All documents are read: a stretch of held-out ones needs its words' counts as well."""
+    spark = documents.sparkSession
+    packed = [("stretch", pa.int64()), ("cell", pa.int32()), ("places", pa.binary()), ("counts", pa.binary()), ("small", pa.binary())]
+    shared = spark.sparkContext.broadcast(now)
+
+    def counted(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        m, last, lexicon, counts, total = shared.value, None, None, None, 0.0
+        moves, starts, small = np.zeros((states, states)), np.zeros(states), np.zeros((SMALL + 1, states))
+
+        def done() -> pa.RecordBatch:
+            own = counts[: len(lexicon.own)]
+            small[:SMALL] += counts[len(lexicon.own) :]
+            small[SMALL] += own.sum(axis=0)
+            cells = [(last, cell, pack(lexicon.places[a:b]), pack_counts(own[a:b]), None) for cell, a, b in zip(lexicon.cells, lexicon.begin[:-1], lexicon.begin[1:]) if b > a]
+            return _batch(packed, *cells)
+
+        for stretch, lex, rows, documents in _stretches(batches, path):
+            if lex is not lexicon:
+                if lexicon is not None:
+                    yield done()
+                last, lexicon = stretch, lex
+                emit = m.emit(lex, stretch, size)
+                emission, counts = Emission(emit), np.zeros(emit.shape)
+            end = np.int32(len(lex.own) + SMALL - 1)
+            some = [np.append(lex.unit[d], end) for d, held in zip(documents, rows.column(2).to_pylist()) if not held]
+            if some:
+                total += expected(Model(m.start, m.move, emit), emission, some, counts, moves, starts)
+        if lexicon is not None:
+            yield done()
+        yield _batch(packed, (None, None, None, None, pack(np.concatenate([small, moves, starts[None], np.full((1, states), total / states)]))))
+
+    got = written(documents.mapInArrow(counted, "stretch bigint, cell int, places binary, counts binary, small binary"), "hmm-counts")
+    shared.unpersist()
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((SMALL + states + 3, states))
+        for (x,) in _rows(batches):
+            out += unpacked(x, "<f8").reshape(out.shape)
+        yield _told(out)
+
+    sums = _summed(got.where("small IS NOT NULL").select("small").mapInArrow(small, _kinds(states)), SMALL + states + 3, states)
+    gained = (sums[-1].sum() + size["c log c"] - size["own c log c"] + _within(size, slice(OFTEN, UNKNOWN))) / max(size["n"], 1)
+    counts = got.where("small IS NULL").select("cell", salt, "stretch", "places", "counts")
+
+    def added(keys: int):
+        def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (cell, *_), run in _grouped(batches, keys):
+                whole = np.zeros((0, states))
+                for places, c in run:
+                    at = unpacked(places, "<i4")
+                    if len(whole) <= (most := int(at.max())):
+                        whole = np.concatenate([whole, np.zeros((most + 1 - len(whole), states))])
+                    whole[at] += counts_of(c, states)
+                yield _batch([packed[1], packed[2], packed[3]], (cell, pack(np.arange(len(whole), dtype="<i4")), pack_counts(whole)))
+
+        return out
+
+    def returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = None
+        for cell, _, kind, stretch, places, c in _rows(batches):
+            if not kind:
+                whole = counts_of(c, states)
+            else:
+                yield _batch([packed[0], packed[1], packed[3]], (stretch, cell, pack_counts(whole[unpacked(places, "<i4")])))
+
+    kinds = "cell int, places binary, counts binary"
+    whole = _sorted(counts.select("cell", "salt", "places", "counts"), "cell", "salt").mapInArrow(added(2), kinds)
+    whole = written(whole if salts == 1 else _sorted(whole, "cell").mapInArrow(added(1), kinds), "hmm-totals")
+    known = whole.select("cell", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("stretch"), F.lit(None).cast("binary").alias("places"), "counts")
+    asked = counts.select("cell", "salt", F.lit(1).alias("kind"), "stretch", "places", F.lit(None).cast("binary").alias("counts"))
+    back = _sorted(known.unionByName(asked), "cell", "salt", then=("kind",)).mapInArrow(returned, "stretch bigint, cell int, counts binary")
+    of_words = _to_stretches(spark, back, "hmm-emissions")
+    total = sums[: SMALL + 1].sum(axis=0)
+    share = _shares(size)[OFTEN:]
+    low = _smoothed(sums[:SMALL], share, total, size)
+    low[UNKNOWN - OFTEN] = _unknown(size)
+    dropped(got, whole)
+    return Words(*_moves(sums[SMALL + 1 :], states), low, total, of_words, None), gained
+
+
 def _scored(documents: DataFrame, path: str, size: dict, model: Words) -> DataFrame:
     """Exact log10 probabilities, document by document, and the base scores."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -534,7 +556,7 @@ def trained(df: DataFrame, key: str = "doc_id", text: str = "text", states: int
         size["n"], size["v"] = size["n"] + size["docs"], size["v"] + (size["docs"] > 0)
         collected(spark)
         model, history = _tied(held_in, path, size, states, warm)
-        words, more = _untied(held_in, path, size, states, max(1, rounds), model, salts, salt)
+        words, more = _untied(documents.select("stretch", "ids", "held_out"), path, size, states, max(1, rounds), model, salts, salt)
         scores = written(_scored(documents, path, size, words), "hmm-scores")
         dropped(rows, path, words.path)
     return scores, history + more
