@@ -1,27 +1,32 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every source is a queue of its documents in a shuffled order (by a hash), offered as often as the cap allows. A turn's
-virtual start and finish are the words that its source has served before and after it, over the source's target. All
-turns are range-sorted by virtual finish. At virtual time 1 the queues together have served the total budget, so that
-is where the mix is truncated: the document that a queue is serving then is taken in part.
+Every source is a queue of its documents in a shuffled order (by a hash), offered as often as the cap allows. A turn of a
+document is served in quanta of QUANTUM words; a quantum's virtual finish is the words that its source has served by its
+end, over the source's target. All quanta are range-sorted by virtual finish, the sorted partitions' words are summed up
+one after the other, and where the sum reaches the total budget the mix is truncated: the last quantum is taken in part.
 
 Prefix sums don't gather a source: its documents are split by the leading bits of their hash, each split is summed, the
-few sums are accumulated, and a running sum inside each split is added.
+few sums are accumulated, and a running sum inside each split is added. Targets are settled by sums over sources, too.
 
 A null source is a source of its own (last in order), a null text has no words and is never taken; repeated rows are
 documents of their own; a source whose documents are all empty has target 0. An empty table gives an empty mix. Columns
-of the input that have an output's name give way to it.
+of the input that have an output's name give way to it. In the mix of documents (`mixed`), a turn of which the budget
+leaves less than half is left out, and one of which it leaves half or more is taken whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from folioq.llm.common import let, table, without, written
+from folioq.llm.common import let, partitions, table, without, written
 
-WEIGHTS, SHARE, CAP, SEED, SPLIT_BITS = (5, 2, 1), 1.5, 2, 17, 10
+WEIGHTS, SHARE, CAP, SEED, SPLIT_BITS, QUANTUM = (5, 2, 1), 1.5, 2, 17, 8, 128
+ROW = "_folioq_row"
 _BLANK = " \t\n\x0b\f\r"
 ADDED = ("size", "source_size", "target", "turns", "taken", "virtual_finish")
 
@@ -35,58 +40,104 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     """A row per source (nul, src, source_size): its target, min(cap * size, level * weight), the level set by the budget.
 
     The level at which no target exceeds its cap while all add up to the budget is where resharing the excess by weight
-    ends. The windows without keys run over a row per source.
+    ends. It is found by rounds, each one sum over the sources: those over their cap at the present level are settled.
     """
-    order = Window.orderBy("nul", "src")
+    spark, n = sizes.sparkSession, len(weights)
+    order = ["nul", "src"]
+    ranked = written(sizes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "mix-sources")
+    # a source's place in the order: its place in its partition behind all partitions before; ids say both
+    counts = sorted((r["p"], r["n"]) for r in ranked.groupBy(F.shiftright("_id", 33).alias("p")).agg(F.count("*").alias("n")).collect())
+    starts, so_far = [], 0
+    for p, k in counts:
+        starts.append((p, so_far))
+        so_far += k
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("start")
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    rows = sizes.withColumn("weight", F.element_at(cycle, F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1))
-    rows = rows.withColumn("most", F.col("source_size") * float(cap))
-    full = Window.orderBy(F.col("most") / F.col("weight"), "nul", "src")
-    before, all_rows = full.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    rest_weight = F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    rest_budget = F.sum("source_size").over(all_rows) * share - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    rows = rows.withColumn("level", rest_budget / rest_weight)
-    level = F.min(F.when(F.col("level") <= F.col("most") / F.col("weight"), F.struct(F.col("most") / F.col("weight"), "level"))).over(all_rows)["level"]
-    return rows.select("nul", "src", "source_size", F.least("most", F.coalesce(level, F.lit(float("inf"))) * F.col("weight")).alias("target"))
-
-
-def schedule(df: DataFrame, source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = CAP, split_bits: int = SPLIT_BITS) -> DataFrame:
-    """df, which has size and order_key, with its documents' turns: array<struct<epoch, virtual_start, virtual_finish, words>> of words above 0."""
-    keyed = df.withColumns({"nul": F.col(source).isNull(), "src": F.coalesce(F.col(source), F.lit("")), "split": F.shiftrightunsigned("order_key", 64 - split_bits)})
+    rows = ranked.withColumn("p", F.shiftright("_id", 33)).join(F.broadcast(spark.createDataFrame(starts, "p bigint, start bigint")), "p")
+    rows = rows.select(*order, "source_size", F.element_at(cycle, (F.pmod(place, F.lit(n)) + 1).cast("int")).alias("weight"), (F.col("source_size") * float(cap)).alias("most"))
+    budget, level = float(sizes.agg(F.sum("source_size")).first()[0] or 0) * share, 0.0
+    while True:
+        over = F.col("most") <= F.lit(level) * F.col("weight")
+        got = rows.agg(F.sum(F.when(over, F.col("most"))).alias("settled"), F.sum(F.when(~over, F.col("weight"))).alias("weight")).first()
+        if not got["weight"]:
+            level = float("inf")
+            break
+        now = max(level, (budget - (got["settled"] or 0.0)) / got["weight"])
+        if now <= level * (1 + 1e-12):
+            break
+        level = now
+    return rows.select(*order, "source_size", F.least("most", F.lit(level) * F.col("weight")).alias("target"))
+
+
+def schedule(rows: DataFrame, source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = CAP, split_bits: int = SPLIT_BITS, quantum: int = QUANTUM) -> tuple[DataFrame, DataFrame]:
+    """Of rows (ROW, source, size, order_key): the words taken (ROW, epoch, words, virtual_finish), and what each source is due.
+
+    The second table has a row (nul, src, source_size, target) per source. Rows of which nothing is taken are not in the first.
+    """
+    spark = rows.sparkSession
+    keyed = rows.select(ROW, "size", "order_key", F.col(source).isNull().alias("nul"), F.coalesce(F.col(source), F.lit("")).alias("src"), F.shiftrightunsigned("order_key", 64 - split_bits).alias("split"))
     splits = keyed.groupBy("nul", "src", "split").agg(F.sum("size").alias("split_size"))
     w = Window.partitionBy("nul", "src").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumns({"offset": F.coalesce(F.sum("split_size").over(w), F.lit(0)), "of_source": F.sum("split_size").over(Window.partitionBy("nul", "src"))})
-    splits = written(splits, "mix-splits")
-    goal = targets(splits.groupBy("nul", "src").agg(F.sum("split_size").alias("source_size")), weights, share, cap)
-    splits = splits.join(goal, ["nul", "src"])
-    inside = Window.partitionBy("nul", "src", "split").orderBy("order_key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    ended = keyed.withColumn("ended", F.sum("size").over(inside)).join(splits, ["nul", "src", "split"])
-    whole = F.floor("target").cast("long")
+    splits = written(splits.withColumn("offset", F.coalesce(F.sum("split_size").over(w), F.lit(0))), "mix-splits")
+    due = written(targets(splits.groupBy("nul", "src").agg(F.sum("split_size").alias("source_size")), weights, share, cap), "mix-targets")
+    total = splits.agg(F.sum("split_size")).first()[0] or 0
+    budget = int(total * min(share, cap))
+
+    inside = Window.partitionBy("nul", "src", "split").orderBy("order_key", "size", ROW).rowsBetween(Window.unboundedPreceding, 0)
+    ended = keyed.where("size > 0").withColumn("ended", F.sum("size").over(inside)).join(splits, ["nul", "src", "split"]).join(due.where("target > 0"), ["nul", "src"])
+    epochs = F.explode(F.array(*[F.lit(e) for e in range(cap)])).alias("epoch")
+    turns = ended.select(ROW, "order_key", "nul", "src", "size", "target", epochs, (F.col("offset") + F.col("ended") - F.col("size")).alias("before"), "source_size")
+    quanta = turns.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / quantum).cast("long"))).alias("q"))
+    upto = F.least((F.col("q") + 1) * quantum, F.col("size"))
+    finish = (F.col("before") + F.col("epoch") * F.col("source_size") + upto) / F.col("target")
+    quanta = quanta.select(finish.alias("virtual_finish"), "nul", "src", "order_key", ROW, "epoch", (upto - F.col("q") * quantum).alias("words"))
+    order = ["virtual_finish", "nul", "src", "order_key", ROW, "epoch"]
+    sorted_ = quanta.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    schema = StructType([*(quanta.schema[c] for c in ("virtual_finish", ROW, "epoch", "words")), StructField("part", IntegerType()), StructField("sum", LongType())])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, done = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            if batch.num_rows:
+                running = pc.add(pc.cumulative_sum(batch.column(3)), done)
+                done = running[-1].as_py()
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), running], names=schema.names)
+
+    served = written(sorted_.select("virtual_finish", ROW, "epoch", "words").mapInArrow(summed, schema), "mix-order")
+    offsets, so_far = [], 0
+    for r in sorted(served.groupBy("part").agg(F.max("sum").alias("n")).collect()):  # a row per partition
+        offsets.append((r["part"], so_far))
+        so_far += r["n"]
+    starts = spark.createDataFrame(offsets, "part int, `offset` bigint")
+    left = F.lit(budget) - (F.col("offset") + F.col("sum") - F.col("words"))
+    cut = served.join(F.broadcast(starts), "part").select("virtual_finish", ROW, "epoch", F.least("words", left).alias("words")).where("words > 0")
+    return cut.groupBy(ROW, "epoch").agg(F.sum("words").alias("words"), F.max("virtual_finish").alias("virtual_finish")), due
 
-    def turn(epoch: Column) -> Column:
-        start = F.col("offset") + F.col("ended") - F.col("size") + epoch * F.col("source_size")
-        words = F.least(F.col("size"), F.greatest(F.lit(0), whole - start))
-        return F.struct(epoch.alias("epoch"), (start / F.col("target")).alias("virtual_start"), ((start + F.col("size")) / F.col("target")).alias("virtual_finish"), words.cast("long").alias("words"))
 
-    turns = F.filter(F.transform(F.array(*[F.lit(e) for e in range(cap)]), turn), lambda t: t["words"] > 0)
-    out = ended.withColumn("turns", F.when(F.col("target") > 0, turns).otherwise(F.lit([]).cast("array<struct<epoch:int,virtual_start:double,virtual_finish:double,words:bigint>>")))
-    return out.drop("nul", "src", "split", "split_size", "offset", "of_source", "ended")
+def sized(df: DataFrame, text: str = "text", keys: Sequence[str] = (), seed: int = SEED) -> DataFrame:
+    """df with ROW, each document's size in words, and its place in the shuffled order."""
+    return without(df, *ADDED, "order_key", ROW).withColumns({"size": word_count(F.col(text)), "order_key": F.xxhash64(F.lit(seed), *[F.col(k) for k in keys], F.col(text)), ROW: F.monotonically_increasing_id()})
 
 
-def sized(df: DataFrame, text: str = "text", keys: Sequence[str] = (), seed: int = SEED) -> DataFrame:
-    """df with each document's size in words, and its place in the shuffled order."""
-    return without(df, *ADDED, "order_key").withColumns({"size": word_count(F.col(text)), "order_key": F.xxhash64(F.lit(seed), *[F.col(k) for k in keys], F.col(text))})
+def mix(rows: DataFrame, source: str = "source", **how) -> DataFrame:
+    """rows (as `sized` makes them, written) with ADDED: what is taken of each document, repeats counted."""
+    taken, due = schedule(rows, source, **how)
+    each = taken.groupBy(ROW).agg(F.sum("words").alias("taken"), F.count("*").alias("turns"), F.min("virtual_finish").alias("virtual_finish"))
+    known = rows.withColumns({"_nul": F.col(source).isNull(), "_src": F.coalesce(F.col(source), F.lit(""))}).join(due.toDF("_nul", "_src", "source_size", "target"), ["_nul", "_src"]).drop("_nul", "_src")
+    return known.join(each, ROW, "left").withColumns({"taken": F.coalesce("taken", F.lit(0)).cast("long"), "turns": F.coalesce("turns", F.lit(0)).cast("int")})
 
 
 def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The mix: df's columns, once for each turn that is served before the budget ends, sorted by virtual finish."""
-    turns = schedule(sized(df, text, [key]), source, **how).withColumn("turn", F.explode("turns"))
-    return turns.orderBy("turn.virtual_finish", source, "order_key", "turn.epoch").select(*[F.col(f"`{c}`") for c in df.columns])
+    """The mix: df's columns, once for each turn of which at least half is served before the budget ends, sorted by virtual finish."""
+    rows = written(sized(df, text, [key]), "mix-rows")
+    taken, _ = schedule(rows, source, **how)
+    turns = taken.join(rows.select(ROW, "size"), ROW).where("2 * words >= size").select(ROW, "epoch", "virtual_finish")
+    return rows.join(turns, ROW).orderBy("virtual_finish", ROW, "epoch").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows = written(sized(docs, "text", ["doc_id"]).drop("text"), "mix-sizes")
-    taken = F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + t["words"])
-    out = schedule(rows).select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.get("turns", F.lit(0))["virtual_finish"].alias("virtual_finish"), "order_key")
-    return out.orderBy(F.col("virtual_finish").asc_nulls_last(), "order_key").drop("order_key")
+    return mix(rows).select("doc_id", "size", "source_size", "target", "taken", "turns", "virtual_finish")
