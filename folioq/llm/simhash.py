@@ -9,9 +9,11 @@ differences from node to node on the way down, and leaves out whole groups once
 yields a spanning forest of its links, at most one row per fingerprint, and star contraction joins the forests. A
 fingerprint has at most 2080 others within two bits, so the work stays in proportion however large a group of copies.
 
-To keep one of each group of similar texts (`deduplicated`), pairs come from the rarest five-word shingles of each text
-(a prefix filter, complete for the similarity), and each is compared by its whole sets. Copies are one class there too;
-large groups are linked by a few texts, so that their pairs aren't listed.
+To keep one of each group of similar texts (`deduplicated`), the index's links of five-word fingerprints come first, each
+held against the texts' whole sets of shingles. Fingerprints within two bits miss texts that gained or lost a passage, so
+what is not linked yet is looked for among the rarest shingles of each text (a prefix filter, complete for the
+similarity), and each such pair is compared by its whole sets, too. Copies are one class there too; large groups are
+linked by a few texts, so that their pairs aren't listed.
 
 Words are what stands between blanks (space, tab to carriage return), A-Z lower-cased; a text of fewer words than a
 shingle has is one shingle; null and empty texts have no words, fingerprint zero, and are linked like any other.
@@ -413,27 +415,55 @@ def _similar(similarity: float):
     return similar
 
 
+def _compared(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b) of texts (id, text), those of the similarity."""
+    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    with small_batches(texts.sparkSession, 500):
+        return written(both.mapInArrow(_similar(similarity), "a bigint, b bigint"), "similar")
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The fingerprint of distinct shingles' hashes, signed."""
+    total = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(hashes), 1 << 16):
+        total += np.unpackbits(hashes[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(hashes)).view(">i8")[0])
+
+
+def _near_fingerprints(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes (id, print): of equal fingerprints with the first, and firsts that the Gray-order index links."""
+    firsts = written(classes.groupBy(F.col("print").alias("fp")).agg(F.min("id").alias("first"), F.count("*").alias("n")), "firsts")
+    equal = unpacked(packed(classes.select("print", "id"), "print").join(firsts.where("n > 1").select(F.col("fp").alias("print"), "first"), "print")).select(F.col("first").alias("a"), F.col("id").alias("b"))
+    near = links(firsts.select("fp")).toDF("x", "y").join(firsts.select(F.col("fp").alias("x"), F.col("first").alias("a")), "x").join(firsts.select(F.col("fp").alias("y"), F.col("first").alias("b")), "y")
+    return equal.unionByName(near.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _similar_links(texts: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) that connect all texts (id, text) of the similarity, each edge between two of it, by rounds.
 
-    A round compares the next 1, 4, 16, ... texts of each shingle with all behind them that aren't linked with them yet:
+    sizes: (id, size, print). The first edges are those that fingerprints show. Then a round compares the next 1, 4, 16, ... texts of each shingle with all behind them that aren't linked with them yet:
     a large group of near copies is linked by its first texts, so its pairs are never listed.
     """
     spark = texts.sparkSession
-    postings = _postings(texts, sizes, similarity)
-    texts = written(texts.join(written(postings.select("id").distinct(), "near-ids"), "id", "left_semi"), "near-texts")
-    edges, low, step = spark.createDataFrame([], "a bigint, b bigint"), 0, 1
+    postings = _postings(texts, sizes.select("id", "size"), similarity)
+    collected(spark)  # the postings' shuffles are several times the texts
+    near = written(postings.select("id").distinct(), "near-ids")
+    texts = written(texts.join(near, "id", "left_semi"), "near-texts")
+    dropped(near)
+    edges, low, step = _compared(_near_fingerprints(sizes.select("id", "print")), texts, similarity), 0, 1
     while True:
         stars = contract(edges)
         own = postings.join(stars, postings["id"] == stars["node"], "left").select("token", "id", "size", "pos", F.coalesce("root", "id").alias("root"))
         left = own.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where(f"x < y AND n > {low + 1}").select("token")
         open_ = written(own.join(left, "token", "left_semi"), "open-postings")
         if open_.isEmpty():
+            dropped(postings, texts, open_)
             return stars.select(F.col("node").alias("a"), F.col("root").alias("b"))
         pairs = open_.repartition("token").sortWithinPartitions("token", "id").mapInArrow(_candidates(similarity, low, low + step), "a bigint, b bigint").distinct()
-        both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-        with small_batches(spark, 500):
-            found = written(both.mapInArrow(_similar(similarity), "a bigint, b bigint"), "similar")
+        found = _compared(pairs, texts, similarity)
+        dropped(open_)
+        del own, left, open_, pairs
+        collected(spark)
         edges = found.unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b")))
         low, step = low + step, step * 4
 
@@ -445,25 +475,28 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", similar
     pair of classes of the similarity shares one of its rarest shingles, and each pair that does is compared whole, unless
     it's linked already.
     """
-    row, one, two, size = "_folioq_row", "_folioq_one", "_folioq_two", "_folioq_size"
+    row, one, two, size, print_ = "_folioq_row", "_folioq_one", "_folioq_two", "_folioq_size", "_folioq_print"
     names = df.columns
     at = names.index(text)
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles((t.as_py() or "").encode()).tobytes() for t in batch.column(at)]
-            sums = [pa.array([signed(xxhash.xxh64_intdigest(s, seed)) for s in sets], pa.int64()) for seed in (SEED, SEED + 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *sums, pa.array([len(s) // 8 for s in sets], pa.int64())], names=[*names, one, two, size])
-
-    rows = df.mapInArrow(sketched, StructType([*df.schema.fields, *(StructField(c, LongType()) for c in (one, two, size))]))
+            sketches = []
+            for t in batch.column(at):
+                hashes = shingles((t.as_py() or "").encode())
+                raw = hashes.tobytes()
+                sketches.append((signed(xxhash.xxh64_intdigest(raw, SEED)), signed(xxhash.xxh64_intdigest(raw, SEED + 1)), len(hashes), _majority(hashes)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[k] for x in sketches], pa.int64()) for k in range(4))], names=[*names, one, two, size, print_])
+
+    rows = df.mapInArrow(sketched, StructType([*df.schema.fields, *(StructField(c, LongType()) for c in (one, two, size, print_))]))
     rows = written(rows.withColumn(row, F.monotonically_increasing_id()), "rows")
     least = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col(row).alias("row"))
-    classes = rows.select(one, two, size, least.alias("_least")).groupBy(one, two).agg(F.min("_least").alias("least"), F.min(size).alias("size"))
+    classes = rows.select(one, two, size, print_, least.alias("_least")).groupBy(one, two).agg(F.min("_least").alias("least"), F.min(size).alias("size"), F.min(print_).alias("print"))
     classes = written(classes.withColumn("fp", F.col("least.row")), "classes")
     # few rows go: where their ids are few enough for Spark to broadcast, no text is shuffled
     copies = written(rows.select(row, one, two).join(classes.select(one, two, "fp"), [one, two]).where(F.col(row) != F.col("fp")).select(row), "copies")
     texts = rows.join(copies, row, "left_anti").select(F.col(row).alias("id"), F.col(f"`{text}`").alias("text"))
-    edges = _similar_links(texts, classes.select(F.col("fp").alias("id"), "size"), similarity)
+    edges = _similar_links(texts, classes.select(F.col("fp").alias("id"), "size", "print"), similarity)
     gone = _joined(classes, edges).where("component.row <> fp").select(F.col("fp").alias(row))
     return rows.join(written(gone.unionByName(copies), "gone"), row, "left_anti").select(*[f"`{c}`" for c in names])
 
