@@ -52,6 +52,8 @@ def string_of(found: Node | str) -> str:
 def evaluate(document: Document, path: str, scope: Node | None = None) -> list[Node | str]:
     """A node set in document order, or one string for a function of it."""
     path = path.strip()
+    if m := re.fullmatch(r"((?:string|count|normalize-space)\(.*\))\s*(!=|<=|>=|=|<|>)\s*(\d+(?:\.\d+)?|\"[^\"]*\"|'[^']*')", path, re.S):
+        return [str(_compared(evaluate(document, m[1], scope)[0], m[2], m[3])).lower()]
     if m := re.fullmatch(r"(string|count|normalize-space)\((.*)\)", path, re.S):
         inner = evaluate(document, m[2], scope)
         if m[1] == "count":
@@ -158,6 +160,12 @@ def _holds(document: Document, node: Node, pred: str) -> bool:
     return bool(evaluate(document, pred, node))
 
 
+def _compared(got: str, sign: str, want: str) -> bool:
+    """A comparison of a function's value with a literal."""
+    a, b = (got, want[1:-1]) if want[0] in "\"'" else (float(got), float(want))
+    return {"=": a == b, "!=": a != b, "<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}[sign]
+
+
 def strings(xml: str, path: str) -> list[str]:
     document = parse(xml)
     return [] if document is None else [s for x in evaluate(document, path) if (s := string_of(x).strip())]

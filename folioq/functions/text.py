@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -73,6 +73,12 @@ def without_token(c: Column, token: str) -> Column:
     return F.array_join(F.array_remove(tokens(c), token), ",")
 
 
+def converted(c: Column, pairs: Mapping[str, str]) -> Column:
+    """Characters of one script as those of another. Only characters beyond code point 10,000 are converted."""
+    known = {a: b for a, b in pairs.items() if len(a) == len(b) == 1 and ord(a) > 10_000}
+    return F.translate(c, "".join(known), "".join(known.values())) if known else c
+
+
 def slug(c: Column) -> Column:
     """a-z, digits and CJK; everything else becomes single hyphens."""
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"[^a-z0-9一-鿿]+", "-"), "^-+|-+$", "")
@@ -114,12 +120,28 @@ def needle_pattern(needle: str) -> str:
     return r"\Q" + needle.replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
+#: Where a sentence ends, and where a long one may be cut; fixed values.
+ENDS, BREAKS = "。！？!?；;", "，、, "
+
+
 def chunks(c: Column, most: int = 70) -> Column:
-    """Sentences, joined while they fit into `most` characters; a longer sentence is cut."""
-    parts = F.filter(F.split(collapsed(c), r"(?<=[。！？!?；;])"), lambda x: x != "")
-    pieces = F.flatten(F.transform(parts, lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(s) / most).cast("int") - 1, F.lit(0))), lambda k: F.substr(s, k * most + 1, F.lit(most)))))
-    step = lambda acc, p: F.when((F.size(acc) > 0) & (F.length(F.element_at(acc, -1)) + F.length(p) <= most), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), p)))).otherwise(F.concat(acc, F.array(p)))
-    return F.aggregate(pieces, F.array().cast("array<string>"), step)
+    """A text for speaking: sentences, joined while they fit into `most` characters; a longer one is cut before its last break that fits, or at `most`."""
+    blank = r"(?U)^\s+|\s+$"
+    bare = lambda x: F.regexp_replace(x, blank, "")
+    whole = F.regexp_replace(bare(F.coalesce(c, F.lit(""))), r"\n+", "\n")
+    sentences = F.filter(F.transform(F.split(whole, f"(?<=[{ENDS}])"), bare), lambda x: x != "")
+    cut = rf"(?s)\s*(.{{1,{most}}}\s*\z|.{{1,{most}}}(?=[{BREAKS}])|.{{{most}}})"
+    told = lambda s: F.when(F.length(s) > most, F.transform(F.regexp_extract_all(s, F.lit(cut), F.lit(1)), bare)).otherwise(F.array(s))
+    # a long sentence's parts stand alone; short sentences join what is open before them
+    none = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def step(acc: Column, s: Column) -> Column:
+        shut = F.when(acc["open"] != "", F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
+        long = F.struct(F.concat(shut, told(s)).alias("done"), F.lit("").alias("open"))
+        fits = F.struct(acc["done"].alias("done"), F.concat(acc["open"], s).alias("open"))
+        return F.when(F.length(s) > most, long).when(F.length(acc["open"]) + F.length(s) <= most, fits).otherwise(F.struct(shut.alias("done"), s.alias("open")))
+
+    return F.aggregate(sentences, none, step, lambda acc: F.when(acc["open"] != "", F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
 
 
 def version(c: Column) -> Column:
@@ -129,10 +151,20 @@ def version(c: Column) -> Column:
     return F.when(core == "", F.array(F.lit(0), F.lit(0), F.lit(0))).otherwise(F.concat(numbers, F.array_repeat(F.lit(0), F.greatest(3 - F.size(numbers), F.lit(0)))))
 
 
+#: How a summary of one chapter alone begins; fixed values.
+OF_ONE = r"^(?:本章|本节|这一章)[：:，,]\s*"
+OF_NUMBER = r"^第\s*(?:\d+|[零〇一二两三四五六七八九十百千万]+)\s*[章节回话卷篇][^。！？；]{0,40}[：:]\s*"
+
+
 def merged_summary(old: Column, new: Column, most: int = 1200) -> Column:
-    """The newer summary if there is one; beyond `most` characters its head (55 %), dots and its tail."""
-    out = F.coalesce(absent_if_empty(F.trim(new)), old)
-    head = int(most * 0.55)
+    """The newer summary, unless there is none or it is one of a single chapter; beyond `most` characters its head (55 %), dots and its tail.
+
+    Where there is none before, a single chapter's loses its heading and stands.
+    """
+    before, next_ = F.trim(F.coalesce(old, F.lit(""))), F.trim(F.coalesce(new, F.lit("")))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(next_, OF_ONE, ""), OF_NUMBER, ""))
+    out = F.when(next_ == "", before).when(before == "", bare).when(next_.rlike(OF_ONE) | next_.rlike(OF_NUMBER), before).otherwise(next_)
+    head = int((most - 2) * 0.55)
     return F.when(F.length(out) <= most, out).otherwise(F.concat(F.left(out, F.lit(head)), F.lit("……"), F.right(out, F.lit(most - head - 2))))
 
 

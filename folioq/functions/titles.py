@@ -6,9 +6,9 @@ from pyspark.sql import Column, Window, functions as F
 
 DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 UNITS = {"十": 10, "百": 100, "千": 1000}
-#: What marks a chapter outside the story, and what is story all the same; fixed values.
-OUTSIDE = ("番外", "上架感言", "完本感言", "感言", "请假", "公告", "通知", "新书", "推荐票", "月票", "作者的话", "作品相关", "加更说明", "更新说明", "停更", "断更", "抽奖", "活动", "致谢", "后记", "设定集", "人物介绍", "角色卡", "单章", "封推")
-INSIDE = ("序章", "楔子", "引子", "序幕", "前言")
+#: What a title outside the story contains, and whole titles of prologues, which are story; fixed values.
+OUTSIDE = ("番外", "外传", "新书", "新番外", "公告", "通知", "说明", "感言", "请假", "断更", "恢复更新", "更新时间", "求票", "月票", "推荐票", "打赏", "推书", "书友群", "群号", "活动", "抽奖", "实体书", "出版", "完本", "上架")
+PROLOGUES = ("序章", "楔子", "引子", "序", "前言")
 
 
 def numeral(c: Column) -> Column:
@@ -42,14 +42,28 @@ def leading(title: Column) -> Column:
     return F.coalesce(numeral(F.nullif(F.regexp_extract(title, r"^\s*([0-9]{1,9})\s*[.、．:：\s]", 1), F.lit(""))), ordinal(title))
 
 
+def bare(title: Column) -> Column:
+    """A title without white space and brackets."""
+    return F.regexp_replace(F.coalesce(title, F.lit("")), r"(?U)[\s【】《》（）()]", "")
+
+
 def outside(title: Column) -> Column:
-    """Whether a title is that of no part of the story."""
-    return title.rlike("|".join(OUTSIDE)) & ~title.rlike("|".join(INSIDE))
+    """Whether a title is that of no part of the story: an empty one, or one that says so and is no prologue's."""
+    t = bare(title)
+    return (t == "") | (t.rlike("|".join(OUTSIDE)) & ~t.isin(*PROLOGUES))
+
+
+def story_ordinal(title: Column) -> Column:
+    """The number that a title begins with: 12、…, 第12章, 第十二章, 十二节."""
+    t = bare(title)
+    arabic = F.regexp_extract(t, r"^第?(\d{1,5})(?:[章节回话集部卷篇.、:：]|$)", 1)
+    said = F.regexp_extract(t, r"^第?([零〇一二两三四五六七八九十百千万]+)[章节回话集部卷篇]", 1)
+    return F.coalesce(numeral(F.nullif(arabic, F.lit(""))), numeral(F.nullif(said, F.lit(""))))
 
 
 def front_loaded(title: Column, index: str, by: list[str]) -> Column:
     """Latest chapters put before the first: a number of 50 or more within the first 31 places, before chapter 1 or soon followed by a number up to 10."""
-    n = leading(title)
+    n = story_ordinal(title)
     w = Window.partitionBy(*by).orderBy(index)
     ahead = F.min(n).over(w.rowsBetween(1, 19))
     first = F.min(F.when(n == 1, F.col(index))).over(Window.partitionBy(*by))

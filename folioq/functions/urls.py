@@ -83,6 +83,16 @@ def page_stem(c: Column) -> Column:
     return F.regexp_replace(c, r"[-_](?:[2-9]|[1-9]\d+)(\.\w+)?/?$", "$1")
 
 
+def next_page_follows(first: Column, link: Column) -> Column:
+    """Whether link is a further page of the text at first: scheme, host and port the same, and the path but for the page's number."""
+    place = lambda c: F.lower(F.regexp_extract(c, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1))
+    numbered = path(link).rlike(r"[-_](?:[2-9]|[1-9]\d+)(\.\w+)?/?$")
+    asked = lambda c: F.regexp_extract(c, r"^[^?#]*\?([^#]*)", 1)
+    same = path(first) == path(link)
+    stem = page_stem(path(link))
+    return (place(first) == place(link)) & F.when(same, asked(first) != asked(link)).otherwise(numbered & ((stem == page_stem(path(first))) | (stem == path(first))))
+
+
 #: Extensions and their content types, fixed values.
 TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "svg": "image/svg+xml", "ico": "image/x-icon"}
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioq.functions.text import hits, snippet
 
-#: A chapter's heading: a number of a chapter, section or volume and perhaps a title; an unspaced title doesn't end a sentence.
-HEADING = r"^\s*(?:第[0-9零〇一二两三四五六七八九十百千万]+[章节回卷部集篇]|卷[0-9零〇一二两三四五六七八九十百千万]+)(?:\s*$|[\s　:：、.．-]+\S.*$|[^\s。！？!?；;，,]{1,60}$)"
+#: A chapter's heading, trimmed: a number of a chapter, section or volume and perhaps a title; an unspaced title doesn't end a sentence; fixed value.
+HEADING = r"^(?:第[\p{N}零〇一二两三四五六七八九十百千万壹贰叁肆伍陆柒捌玖拾佰仟]+[章节回卷部集篇]|卷[\p{N}零〇一二两三四五六七八九十百千万壹贰叁肆伍陆柒捌玖拾佰仟]+)(?:$|[\s:：、.．\-—].*|[^\s:：、.．\-—](?:.*[^。！？!?；;，,、])?)$"
+BLANK = r"(?U)^\s+|\s+$"
 PROLOGUE, WHOLE = "序章", "正文"
 
 
@@ -24,9 +25,10 @@ def chapters(docs: DataFrame, heading: str = HEADING, key: str = "doc_id", text:
 
     def step(acc: Column, line: Column) -> Column:
         size = F.octet_length(line).cast("bigint")
-        is_head = (F.length(line) <= most) & line.rlike(heading)
+        title = F.regexp_replace(line, BLANK, "")
+        is_head = (F.length(title) <= most) & title.rlike(heading)
         after = acc["at"] + size + 1
-        head = F.struct(F.trim(F.regexp_replace(line, r"\r$", "")).alias("title"), acc["at"].alias("head"), after.alias("start"))
+        head = F.struct(title.alias("title"), (acc["at"] + F.octet_length(F.regexp_extract(line, r"(?U)^\s*", 0))).alias("head"), after.alias("start"))
         return F.struct(after.alias("at"), F.when(is_head, F.concat(acc["heads"], F.array(head))).otherwise(acc["heads"]).alias("heads"))
 
     raw, total = F.col("_raw"), F.octet_length("_raw").cast("bigint")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from folioq.operators.merge import first_rows
+from folioq.operators.recurse import kept
 
 LOCATED = "位于"
 
@@ -35,19 +36,19 @@ def neighbours(links: DataFrame, node: str) -> DataFrame:
     return links.select(away.alias("id")).where("id IS NOT NULL").distinct()
 
 
-def hierarchy(rows: DataFrame, key: str = "name", parent: str = "parent", most: int = 32) -> DataFrame:
+def hierarchy(rows: DataFrame, key: str = "name", parent: str = "parent") -> DataFrame:
     """(name, parent, depth, path) from the roots down; a row whose parent is missing is a root, rows on a cycle are left out.
 
-    One recursive query: each level joins the rows to the level above, and stops at a row that its path has already. Spark
-    bounds such queries (spark.sql.cteRecursionRowLimit); a book's places are far below that.
+    A round joins the rows to the level above, and leaves out those that their path has already. It ends with a level of
+    none, so no depth is too much; each level is written to the shared folder.
     """
-    spark = rows.sparkSession
-    view = f"_hierarchy_{abs(hash((key, parent, rows.semanticHash()))) % 10**9}"
-    rows.select(F.col(key).alias("name"), F.col(parent).alias("parent")).createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE tree (name, parent, depth, path) MAX RECURSION LEVEL {most} AS (
-            SELECT r.name, r.parent, 0, array(r.name) FROM {view} r LEFT ANTI JOIN {view} p ON r.parent = p.name
-            UNION ALL
-            SELECT r.name, r.parent, t.depth + 1, concat(t.path, array(r.name)) FROM tree t JOIN {view} r ON r.parent = t.name
-            WHERE NOT array_contains(t.path, r.name)
-        ) SELECT name, parent, depth, array_join(path, '/') AS path FROM tree""")
+    all_ = kept(rows.select(F.col(key).alias("name"), F.col(parent).alias("parent")), "places")
+    names = all_.select(F.col("name").alias("parent")).distinct()
+    level = kept(all_.join(names, "parent", "left_anti").select("name", "parent", F.lit(0).alias("depth"), F.array("name").alias("path")), "level")
+    out = level
+    while not level.isEmpty():
+        above = level.select(F.col("name").alias("parent"), F.col("depth").alias("_d"), F.col("path").alias("_p"))
+        below = all_.join(above, "parent").where(~F.array_contains("_p", F.col("name")))
+        level = kept(below.select("name", "parent", (F.col("_d") + 1).alias("depth"), F.concat("_p", F.array("name")).alias("path")), "level")
+        out = out.unionByName(level)
+    return out.select("name", "parent", "depth", F.array_join("path", "/").alias("path"))

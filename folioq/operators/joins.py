@@ -19,15 +19,29 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 
 
 def chapter_books(chapters: DataFrame, books: DataFrame, url: str = "url", book_url: str = "bookUrl", seq: str = "seq") -> DataFrame:
-    """Each chapter's book: its URL begins with the book's, or on the same host one path is a prefix of the other.
+    """Each chapter's book, the first by seq: its URL begins with the book's, or on the same host one path is a prefix of the other.
 
-    The host is an equality key (a URL that begins with another shares its host), so this is no nested loop.
+    A prefix is an equality: a URL meets the books by its prefixes of those lengths that books have, and the other way
+    round. So no host's books meet all its chapters, and each key has one book, the first.
     """
-    c = chapters.withColumns({"_h": host(F.col(url)), "_p": path(F.col(url))})
-    b = books.select(F.col(book_url).alias("_bu"), F.col(seq).alias("_bs"), host(F.col(book_url)).alias("_h"), path(F.col(book_url)).alias("_bp"))
-    fits = F.startswith(F.col(url), F.col("_bu")) | F.startswith(F.col("_p"), F.col("_bp")) | F.startswith(F.col("_bp"), F.col("_p"))
-    joined = c.join(b, "_h").where(fits)
-    return joined.groupBy(*chapters.columns).agg(F.min_by("_bu", "_bs").alias(book_url))
+    u = chapters.select(F.col(url).alias("_u")).where("_u IS NOT NULL").distinct().select("_u", host(F.col("_u")).alias("_h"), path(F.col("_u")).alias("_p"))
+    b = books.where(F.col(book_url).isNotNull()).select(F.struct(F.col(seq).alias("s"), F.col(book_url).alias("u")).alias("_b"), F.col(book_url).alias("_bu"), host(F.col(book_url)).alias("_h"), path(F.col(book_url)).alias("_bp"))
+
+    def lengths(df: DataFrame, c: str) -> Column:
+        """As a literal: at most as many as the longest has characters."""
+        return F.array(*[F.lit(r[0]) for r in df.select(F.length(c)).distinct().collect()]).cast("array<int>")
+
+    def prefixes(df: DataFrame, c: str, some: Column) -> DataFrame:
+        fit = F.filter(some, lambda n: n <= F.length(c))
+        return df.select("*", F.explode(F.transform(fit, lambda n: F.substr(F.col(c), F.lit(1), n))).alias("_k"))
+
+    first = lambda df, *keys: df.groupBy(*keys).agg(F.min("_b").alias("_b"))
+    by_url = prefixes(u, "_u", lengths(b, "_bu")).join(first(b.withColumn("_k", F.col("_bu")), "_k"), "_k")
+    below = prefixes(u, "_p", lengths(b, "_bp")).join(first(b.withColumn("_k", F.col("_bp")), "_h", "_k"), ["_h", "_k"])
+    above = u.withColumn("_k", F.col("_p")).join(first(prefixes(b, "_bp", lengths(u, "_p")), "_h", "_k"), ["_h", "_k"])
+    found = by_url.select("_u", "_b").unionByName(below.select("_u", "_b")).unionByName(above.select("_u", "_b"))
+    best = found.groupBy(F.col("_u").alias(url)).agg(F.min("_b").alias("_b"))
+    return chapters.join(best, url).select(*[F.col(c) for c in chapters.columns], F.col("_b.u").alias(book_url))
 
 
 def domain_sources(urls: DataFrame, sources: DataFrame, url: str = "url", source_url: str = "sourceUrl", updated: str = "updated") -> DataFrame:

@@ -9,6 +9,23 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from folioq.functions.text import entity_key, merge_key, pair_key
 
 IMPORTANCE = ("low", "medium", "high")
+#: Relations that say little, and what marks a low importance; fixed values.
+PLAIN = ("认识", "见过", "路过", "同村", "同校", "位于", "相关")
+LOW = ("low", "低", "低重要性", "不重要", "路人", "背景", "minor", "background", "oneoff", "一次性")
+
+
+def most_important_rank(importance: Column) -> Column:
+    """3 for high, 2 for medium, 1 for low, 0 for what says none of them."""
+    key = entity_key(F.coalesce(importance, F.lit("")))
+    some = lambda *terms: F.lit(False) if not terms else F.contains(key, F.lit(terms[0])) | some(*terms[1:])
+    return F.when(some("high", "高"), 3).when(some("medium", "中"), 2).when(some(*LOW), 1).otherwise(0)
+
+
+def telling(relations: DataFrame) -> DataFrame:
+    """Relations without those of little worth: a plain one of no stated importance, of which less than 18 characters are told."""
+    key = entity_key(F.coalesce("importance", F.lit("")))
+    stated = F.contains(key, F.lit("high")) | F.contains(key, F.lit("medium")) | F.contains(key, F.lit("高")) | F.contains(key, F.lit("中"))
+    return relations.where(stated | ~entity_key(F.col("relation")).isin(*PLAIN) | (F.length(entity_key(F.coalesce("detail", F.lit("")))) >= 18))
 
 
 def first_filled(c: str, seq: str = "seq") -> Column:
@@ -35,12 +52,13 @@ def distinct_in_order(c: str, seq: str = "seq") -> Column:
     return F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(seq).alias("s"), F.col(c).alias("v"))))), lambda x: x["v"]))
 
 
-def across_sources(rows: DataFrame, fill: Sequence[str] = ("coverUrl", "intro", "kind", "lastChapter", "updateTime"), base: Sequence[str] = ("name", "author", "bookUrl", "origin", "wordCount"), seq: str = "seq") -> DataFrame:
-    """One row per name and author: the first row's base, gaps filled from later ones, and all origins where there are several."""
+def across_sources(rows: DataFrame, fill: Sequence[str] = ("coverUrl", "intro", "kind", "lastChapter", "updateTime"), base: Sequence[str] = ("name", "author", "bookUrl", "origin", "wordCount"), seq: str = "seq", ordered: bool = False) -> DataFrame:
+    """One row per name and author: the first row's base, gaps filled from later ones, and all origins where there are several; ordered: by name."""
     keyed = rows.withColumn("_key", merge_key(F.col("name"), F.col("author")))
     have = [c for c in base if c in rows.columns]
     out = keyed.groupBy("_key").agg(F.min_by(F.struct(*have), seq).alias("_b"), *[first_filled(c, seq) for c in fill if c in rows.columns], distinct_in_order("origin", seq).alias("_o"))
-    return out.select("_b.*", *[c for c in fill if c in rows.columns], F.when(F.size("_o") > 1, F.col("_o")).alias("bookSourceUrls"))
+    merged = out.select("_b.*", *[c for c in fill if c in rows.columns], F.when(F.size("_o") > 1, F.col("_o")).alias("bookSourceUrls"))
+    return merged.orderBy("name") if ordered else merged
 
 
 def first_rows(rows: DataFrame, keys: Sequence[str | Column], order: Sequence[str | Column]) -> DataFrame:

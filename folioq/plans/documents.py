@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioq.functions import text as T, titles
 from folioq.operators import books, joins, merge
@@ -61,10 +61,13 @@ def doc_whole_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.chapters(_docs(spark, sf_dir)).select("doc_id", "index", "title", F.md5("content").alias("content"))
 
 
-@query(r"""WITH e AS (SELECT doc_id, encode(text) AS b, octet_length(encode(text)) // 3 AS a FROM documents WHERE length(text) = strlen(text)) SELECT doc_id, md5(b[a + 1:2 * a]) AS part FROM e""")
+@query("WITH e AS (SELECT doc_id, text, length(text) // 3 AS c FROM documents) SELECT doc_id, md5(substr(text, CAST(c + 1 AS BIGINT), CAST(c AS BIGINT))) AS part FROM e")
 def doc_byte_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).where(F.length("text") == F.octet_length("text")).withColumn("a", F.floor(F.octet_length("text") / 3))
-    return books.ranged(docs.withColumn("z", F.col("a") * 2), "text", "a", "z", "part").select("doc_id", F.md5("part").alias("part"))
+    """The middle third of each text by its byte range, between borders of characters."""
+    c = F.floor(F.length("text") / 3).cast("int")
+    upto = lambda n: F.octet_length(F.substr("text", F.lit(1), n))
+    docs = _docs(spark, sf_dir).withColumns({"a": upto(c), "z": upto(2 * c)})
+    return books.ranged(docs, "text", "a", "z", "part").select("doc_id", F.md5("part").alias("part"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents WHERE contains(text, 'the')), g AS (SELECT doc_id, t, string_split(t, 'the and') AS g FROM t),
@@ -75,24 +78,6 @@ def doc_search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.search(_docs(spark, sf_dir), "the and").withColumnRenamed("at", "pos")
 
 
-@query()
-def doc_speech_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts in chunks of up to 70 characters, at sentence ends where there are any."""
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("seq", "chunk"))
-
-
-@query("SELECT doc_id, md5(concat_ws(':', source, 'file', md5(text))) AS identity FROM documents")
-def doc_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.md5(F.concat_ws(":", "source", F.lit("file"), F.md5("text"))).alias("identity"))
-
-
-@query(r"""SELECT doc_id, lang || ',失效' AS marked, lang AS unmarked, length(text) AS chars, length(regexp_replace(text, '\s', '', 'g')) AS dense FROM documents""")
-def doc_group_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The token for invalid sources set (twice: once only) and removed again; character counts."""
-    marked = T.with_token(F.concat(F.col("lang"), F.lit("， ；").substr(2, 1), F.lit(";失效")), "失效")
-    return _docs(spark, sf_dir).select("doc_id", marked.alias("marked"), T.without_token(marked, "失效").alias("unmarked"), F.length("text").cast("long").alias("chars"), F.length(F.regexp_replace("text", r"\s", "")).cast("long").alias("dense"))
-
-
 @query(r"""SELECT DISTINCT trim(g) AS "group" FROM (SELECT unnest(string_split(source || ',' || lang || '; ' || source, ',')) AS p FROM documents), unnest(string_split(p, ';')) AS u(g) WHERE trim(g) <> ''""")
 def source_groups_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = T.tokens(F.concat("source", F.lit(","), "lang", F.lit("; "), "source"))
@@ -106,21 +91,23 @@ def source_group_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query(r"""WITH r AS (SELECT doc_id AS seq, substr(text, 1, 2) AS name, lang AS author, source AS origin, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'k' || doc_id END AS kind, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'i' || doc_id END AS intro FROM documents),
+@query(r"""WITH r AS (SELECT doc_id AS seq, CASE WHEN doc_id % 2 = 0 THEN upper(source) ELSE ' ' || source END AS name, lang AS author, 'o' || (doc_id % 4) AS origin, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'k' || doc_id END AS kind, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'i' || doc_id END AS intro FROM documents),
 k AS (SELECT *, lower(trim(name)) || '|' || lower(trim(author)) AS key FROM r)
 SELECT arg_min(name, seq) AS name, arg_min(author, seq) AS author, arg_min(kind, seq) FILTER (kind IS NOT NULL AND kind <> '') AS kind, arg_min(intro, seq) FILTER (intro IS NOT NULL AND intro <> '') AS intro, CASE WHEN count(DISTINCT origin) > 1 THEN count(DISTINCT origin) END AS origins FROM k GROUP BY key""")
 def merge_by_name_author(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("seq"), F.substring("text", 1, 2).alias("name"), F.col("lang").alias("author"), F.col("source").alias("origin"), F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("k"), F.col("doc_id"))).alias("kind"), F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("i"), F.col("doc_id"))).alias("intro"))
+    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 2 == 0, F.upper("source")).otherwise(F.concat(F.lit(" "), "source")).alias("name"), F.col("lang").alias("author"), F.concat(F.lit("o"), F.col("doc_id") % 4).alias("origin"), F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("k"), F.col("doc_id"))).alias("kind"), F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("i"), F.col("doc_id"))).alias("intro"))
     return merge.across_sources(rows, ("kind", "intro")).select("name", "author", "kind", "intro", F.nullif(F.size(F.coalesce("bookSourceUrls", F.array().cast("array<string>"))), F.lit(0)).cast("long").alias("origins"))
 
 
-@query(r"""WITH r AS (SELECT doc_id AS seq, lower(substr(text, 1, 1)) AS key, substr(text, 1, 1) AS name, source AS alias, lang AS status, substr(text, 1, 5 + CAST(doc_id % 40 AS INTEGER)) AS description, ['low', 'medium', 'high', 'none'][1 + doc_id % 4] AS importance FROM documents WHERE trim(substr(text, 1, 1)) <> '')
-SELECT arg_min(name, seq) AS name, arg_max(status, seq) AS status, arg_max(description, length(description) * 10000000 - seq) AS description, arg_max(importance, CASE importance WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END * 10000000 - seq) AS importance, count(DISTINCT alias) AS aliases FROM r GROUP BY key""")
+@query(r"""WITH r AS (SELECT doc_id AS seq, lower(lang || '.' || source) AS key, CASE doc_id % 3 WHEN 0 THEN upper(lang) || '·' || source WHEN 1 THEN ' ' || lang || '•' || source ELSE lang || ' ・ ' || source END AS name, 'al' || (doc_id % 5) AS alias, lang || doc_id AS status, text AS description, ['low', 'medium', 'high', 'none'][1 + doc_id % 4] AS importance FROM documents)
+SELECT arg_min(name, seq) AS name, arg_max(status, seq) AS status, md5(arg_max(description, length(description) * 10000000 - seq)) AS description, arg_max(importance, CASE importance WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END * 10000000 - seq) AS importance, count(DISTINCT alias) AS aliases FROM r GROUP BY key""")
 def entity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters of one name: first name, latest state, richest description, highest importance, all aliases."""
     levels = F.array(*[F.lit(x) for x in ("low", "medium", "high", "none")])
-    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("seq"), F.substring("text", 1, 1).alias("name"), F.col("source").alias("alias"), F.col("lang").alias("status"), F.substr("text", F.lit(1), (5 + F.col("doc_id") % 40).cast("int")).alias("description"), F.element_at(levels, (1 + F.col("doc_id") % 4).cast("int")).alias("importance"))
-    return merge.characters(rows.where("trim(name) <> ''")).withColumn("aliases", F.size("aliases").cast("long"))
+    k = F.col("doc_id") % 3
+    name = F.when(k == 0, F.concat(F.upper("lang"), F.lit("·"), "source")).when(k == 1, F.concat(F.lit(" "), "lang", F.lit("•"), "source")).otherwise(F.concat("lang", F.lit(" ・ "), "source"))
+    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("seq"), name.alias("name"), F.concat(F.lit("al"), F.col("doc_id") % 5).alias("alias"), F.concat("lang", "doc_id").alias("status"), F.col("text").alias("description"), F.element_at(levels, (1 + F.col("doc_id") % 4).cast("int")).alias("importance"))
+    return merge.characters(rows).withColumns({"aliases": F.size("aliases").cast("long"), "description": F.md5("description")})
 
 
 @query(r"""WITH r AS (SELECT doc_id AS seq, source AS a, 'src' || (doc_id * 7 % 20) AS b, lang AS relation FROM documents), k AS (SELECT *, least(a, b) || '::' || greatest(a, b) || '::' || relation AS key FROM r WHERE a <> b)
@@ -130,58 +117,36 @@ def relationship_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.relationships(rows)
 
 
-@query(r"""WITH r AS (SELECT doc_id AS seq, substr(text, 1, 4) AS title, CASE lang WHEN 'en' THEN '' ELSE lang END AS category, CASE WHEN doc_id % 6 = 0 THEN 'low' ELSE 'high' END AS importance FROM documents),
-k AS (SELECT *, coalesce(nullif(trim(category), ''), '基础设定') AS c, lower(replace(trim(title), ' ', '')) AS t FROM r WHERE importance <> 'low'), f AS (SELECT *, row_number() OVER (PARTITION BY c, t ORDER BY seq) AS n FROM k WHERE NOT regexp_matches(title, '[·•・\n]'))
+@query(r"""WITH r AS (SELECT doc_id AS seq, source || ['·', '•', ' ・', '. '][1 + doc_id % 4] || (doc_id % 30) AS title, CASE lang WHEN 'en' THEN '' ELSE lang END AS category, CASE WHEN doc_id % 6 = 0 THEN 'low' ELSE 'high' END AS importance FROM documents),
+k AS (SELECT *, coalesce(nullif(trim(category), ''), '基础设定') AS c, replace(translate(lower(trim(title)), '·•・', '...'), ' ', '') AS t FROM r WHERE importance <> 'low'), f AS (SELECT *, row_number() OVER (PARTITION BY c, t ORDER BY seq) AS n FROM k)
 SELECT c AS category, CAST(CASE c WHEN '基础设定' THEN 1 WHEN 'fr' THEN 2 ELSE 999 END AS INTEGER) AS category_rank, count(*) AS n FROM f WHERE n = 1 GROUP BY ALL""")
 def note_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("seq"), F.substring("text", 1, 4).alias("title"), F.when(F.col("lang") == "en", "").otherwise(F.col("lang")).alias("category"), F.when(F.col("doc_id") % 6 == 0, "low").otherwise("high").alias("importance"))
-    kept = merge.notes(rows.where(~F.col("title").rlike("[·•・\n]")), ("基础设定", "fr"), "基础设定")
+    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("seq"), F.concat("source", F.element_at(F.array(*[F.lit(x) for x in ("·", "•", " ・", ". ")]), (1 + F.col("doc_id") % 4).cast("int")), F.col("doc_id") % 30).alias("title"), F.when(F.col("lang") == "en", "").otherwise(F.col("lang")).alias("category"), F.when(F.col("doc_id") % 6 == 0, "low").otherwise("high").alias("importance"))
+    kept = merge.notes(rows, ("基础设定", "fr"), "基础设定")
     return kept.groupBy("category", "category_rank").agg(F.count("*").alias("n"))
 
 
-@query(r"""WITH d AS (SELECT source, doc_id, row_number() OVER (ORDER BY source, doc_id) AS rn, sum(1) OVER (PARTITION BY source ORDER BY doc_id) AS running FROM documents)
-SELECT source, doc_id, CAST((running - 1) // 4 AS BIGINT) AS batch, running FROM d WHERE running <= 10""")
-def batched_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of four in order, cut where a source has given ten."""
-    running = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    df = _docs(spark, sf_dir).select("source", "doc_id", running.cast("long").alias("running")).where("running <= 10")
-    return df.withColumn("batch", F.floor((F.col("running") - 1) / 4))
-
-
-@query(r"""WITH d AS (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM documents) SELECT source, doc_id, CAST(coalesce(before, 0) AS BIGINT) AS before FROM d WHERE coalesce(before, 0) < 5000""")
-def running_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows until a source's running total has reached its limit."""
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return _docs(spark, sf_dir).select("source", "doc_id", F.coalesce(F.sum("n_chars").over(w), F.lit(0)).alias("before")).where("before < 5000")
-
-
-@query(r"""SELECT doc_id, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS paragraphs, trim(regexp_replace(regexp_replace(lower(trim(substr(text, 1, 30))), '[^a-z0-9一-鿿]+', '-', 'g'), '^-+|-+$', '', 'g'), '') AS slug, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS collapsed FROM documents""")
+@query(r"""SELECT doc_id, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS paragraphs, md5(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9一-鿿]+', '-', 'g'), '^-+|-+$', '', 'g'), '')) AS slug, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS collapsed FROM documents""")
 def doc_text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return _docs(spark, sf_dir).select("doc_id", F.size(T.paragraphs(t)).cast("long").alias("paragraphs"), T.slug(F.substring("text", 1, 30)).alias("slug"), F.md5(T.collapsed(t)).alias("collapsed"))
-
-
-@query(r"""SELECT doc_id, md5(translate(text, 'eéaoè', 'EÉAOÈ')) AS converted FROM documents""")
-def script_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A character map of the caller's, as between two scripts."""
-    return _docs(spark, sf_dir).select("doc_id", F.md5(F.translate("text", "eéaoè", "EÉAOÈ")).alias("converted"))
+    return _docs(spark, sf_dir).select("doc_id", F.size(T.paragraphs(t)).cast("long").alias("paragraphs"), F.md5(T.slug(t)).alias("slug"), F.md5(T.collapsed(t)).alias("collapsed"))
 
 
-@query(r"""SELECT doc_id, lower(regexp_replace(substr(text, 1, 40), '[^\p{L}\p{N}]', '', 'g')) AS title_key FROM documents""")
+@query(r"""SELECT doc_id, md5(lower(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))) AS title_key FROM documents""")
 def doc_title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", T.title_key(F.substring("text", 1, 40)).alias("title_key"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.title_key(F.col("text"))).alias("title_key"))
 
 
-@query(r"""WITH c AS (SELECT conv_id, turn AS "index", substr(text, 1, 12) AS title FROM conversations), k AS (SELECT *, lower(regexp_replace(title, '[^\p{L}\p{N}]', '', 'g')) AS key FROM c),
+@query(r"""WITH c AS (SELECT conv_id, turn AS "index", text AS title FROM conversations), k AS (SELECT *, lower(regexp_replace(title, '[^\p{L}\p{N}]', '', 'g')) AS key FROM c),
 r AS (SELECT *, CASE WHEN key = 'theandof' THEN 0 WHEN key <> '' AND (contains(key, 'theandof') OR contains('theandof', key)) THEN 1 END AS rank FROM k)
 SELECT conv_id, CAST(coalesce(arg_min("index", rank * 100000 + "index"), least(3, max("index"))) AS BIGINT) AS "index", CAST(coalesce(min(rank), 2) AS INTEGER) AS rank FROM r GROUP BY conv_id""")
 def best_title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chapters = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("index"), F.substring("text", 1, 12).alias("title"))
+    chapters = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("index"), F.col("text").alias("title"))
     return joins.best_title(chapters, "The and of", 3, ["conv_id"]).withColumn("index", F.col("index").cast("long"))
 
 
 @query(r"""WITH t AS (SELECT conv_id, turn, ['第' || (turn + 1) || '章 x', (turn + 50) || '.第' || (turn + 50) || '章', '番外 ' || turn, '第十二章', '第一千零三回', '序章 番外'][1 + CAST((conv_id + turn) % 6 AS INTEGER)] AS title FROM conversations)
-SELECT conv_id, turn, CASE WHEN title = '第十二章' THEN 12 WHEN title = '第一千零三回' THEN 1003 ELSE TRY_CAST(regexp_extract(title, '第(\d+)章', 1) AS BIGINT) END AS ordinal, contains(title, '番外') AND NOT contains(title, '序章') AS outside FROM t""")
+SELECT conv_id, turn, CASE WHEN title = '第十二章' THEN 12 WHEN title = '第一千零三回' THEN 1003 ELSE TRY_CAST(regexp_extract(title, '第(\d+)章', 1) AS BIGINT) END AS ordinal, contains(title, '番外') AS outside FROM t""")
 def chapter_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.element_at(F.array(F.concat(F.lit("第"), F.col("turn") + 1, F.lit("章 x")), F.concat(F.col("turn") + 50, F.lit(".第"), F.col("turn") + 50, F.lit("章")), F.concat(F.lit("番外 "), F.col("turn")), F.lit("第十二章"), F.lit("第一千零三回"), F.lit("序章 番外")), (1 + (F.col("conv_id") + F.col("turn")) % 6).cast("int"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", titles.ordinal(title).alias("ordinal"), titles.outside(title).alias("outside"))

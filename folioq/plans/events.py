@@ -13,18 +13,6 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.none') AS none FROM events")
-def event_json_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.none").alias("none"))
-
-
-@query("SELECT event_id, '/novel/' || event_type || '?id=' || json_extract_string(props, '$.k') AS link, '' AS missing FROM events")
-def event_json_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """{$.k} in a template; one of which no path gives a value is empty."""
-    k = F.get_json_object("props", "$.k")
-    return _events(spark, sf_dir).select("event_id", F.concat(F.lit("/novel/"), "event_type", F.lit("?id="), F.coalesce(k, F.lit(""))).alias("link"), F.coalesce(F.get_json_object("props", "$.x"), F.lit("")).alias("missing"))
-
-
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) > 50")
 def event_json_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON list rule with a filter, by the rule language."""
@@ -62,22 +50,6 @@ def rate_serial_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", F.round(F.coalesce(gap, F.lit(-1)) / 1000.0, 3).alias("gap_ms"))
 
 
-@query()
-def rate_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """When each call starts if a user may start three within an hour: later ones wait, which moves those behind them."""
-    from folioq.streaming.ratelimit import admitted
-
-    return admitted(_events(spark, sf_dir).select("event_id", "user_id", "ts"), "user_id", "ts", 3, 3_600_000, "event_id")
-
-
-@query("SELECT * FROM (SELECT user_id, max(ts) AS last_read, arg_max(event_type, (ts, event_id)) AS last_type FROM events WHERE ts > TIMESTAMP '2024-01-24 00:00:00' GROUP BY user_id) ORDER BY last_read DESC, user_id LIMIT 100")
-def recent_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hundred most recent entries within a lifetime (the feature has this limit)."""
-    recent = _events(spark, sf_dir).where(F.col("ts") > F.lit("2024-01-24 00:00:00").cast("timestamp_ntz"))
-    last = recent.groupBy("user_id").agg(F.max("ts").alias("last_read"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))
-    return last.orderBy(F.desc("last_read"), "user_id").limit(100)
-
-
 @query("SELECT event_type, event_id, rn FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS rn FROM events) WHERE rn BETWEEN 51 AND 100")
 def rss_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of fifty of every feed, newest first."""
@@ -91,12 +63,6 @@ def progress_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.latest(rows, ["user_id"], ["saved", "pos"]).select("user_id", "state", "saved", "pos")
 
 
-@query("SELECT user_id, count(DISTINCT event_type) AS opened, count(DISTINCT event_type || '#' || CAST(json_extract_string(props, '$.k') AS INTEGER)) AS chapters, count(DISTINCT CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) >= 90 THEN event_type END) AS completed, CAST(floor(sum(value) / 60) AS BIGINT) AS minutes FROM events GROUP BY user_id")
-def reading_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
-    return _events(spark, sf_dir).groupBy("user_id").agg(F.countDistinct("event_type").alias("opened"), F.countDistinct(F.concat("event_type", F.lit("#"), k)).alias("chapters"), F.countDistinct(F.when(k >= 90, F.col("event_type"))).alias("completed"), F.floor(F.sum("value") / 60).alias("minutes"))
-
-
 @query("SELECT user_id, bit_or(b) AS groups, bit_or(b) & ~CAST(2 AS BIGINT) AS without_two, (bit_or(b) & 4) <> 0 AS in_four, bool_and(b = 0) AS ungrouped FROM (SELECT user_id, CAST(1 << (event_id % 5) AS BIGINT) AS b FROM events) GROUP BY user_id")
 def group_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shelf groups as bits: set, cleared, tested."""
@@ -111,12 +77,6 @@ def list_upsert_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.kept_in_place(_events(spark, sf_dir).select("user_id", F.col("event_id").alias("pos"), "value", "event_type"), ["user_id"]).select("user_id", "pos", "value", "event_type")
 
 
-@query("SELECT event_type, count(*) AS total, count(*) FILTER (value > 20) AS valid, count(*) FILTER (value <= 20) AS invalid, count(DISTINCT user_id) FILTER (value > 90) AS users FROM events GROUP BY event_type")
-def availability_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = F.col("value") > 20
-    return _events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(good).alias("valid"), F.count_if(~good).alias("invalid"), F.countDistinct(F.when(F.col("value") > 90, F.col("user_id"))).alias("users"))
-
-
 @query("SELECT user_id AS id, count(*) AS degree FROM (SELECT DISTINCT 'u' || user_id AS user_id, event_type FROM events) GROUP BY 1 UNION ALL SELECT event_type, count(*) FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1")
 def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioq.operators import graph
@@ -139,14 +99,6 @@ def semver_newer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", a.alias("a")).withColumn("newer", T.version(F.col("a")) > T.version(F.lit("1.9.9")))
 
 
-@query("SELECT user_id, event_type, sum(n) AS n, sum(bytes) AS bytes FROM (SELECT user_id, event_type, count(*) AS n, sum(CAST(floor(value) AS BIGINT)) AS bytes FROM events GROUP BY ALL UNION ALL SELECT user_id, event_type, 0, 0 FROM events) GROUP BY ALL")
-def cumulative_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summaries of batches added up: the same as one summary of all."""
-    df = _events(spark, sf_dir)
-    part = lambda d: d.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum(F.floor("value")).alias("bytes"))
-    return part(df.where("event_id % 2 = 0")).unionByName(part(df.where("event_id % 2 = 1"))).groupBy("user_id", "event_type").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
-
-
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS at, CAST(floor(epoch(ts)) AS BIGINT) AS secs, CAST(round(value / 5 * 10000) AS BIGINT) AS coded FROM events".replace(" AS at", " AS shown"))
 def event_time_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times given in seconds or milliseconds, told apart by size; progress as ten-thousandths."""

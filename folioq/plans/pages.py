@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioq.functions import arrays, text as T, urls as U
 from folioq.operators import joins, rules
@@ -80,15 +80,6 @@ def page_footer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.content_rows(table(spark, sf_dir, "pages"), {"content": "footer"}).select("page_id", "content")
 
 
-@query(r"SELECT page_id, CAST(unnest(range(0, len(regexp_extract_all(html, '<a href=\"/([^\"]*)\">([^<]*)</a>', 1)))) AS INTEGER) AS seq, unnest(regexp_extract_all(html, '<a href=\"/([^\"]*)\">([^<]*)</a>', 2)) || ' (' || unnest(regexp_extract_all(html, '<a href=\"/([^\"]*)\">([^<]*)</a>', 1)) || ')' AS name FROM pages".replace('\\"', '"'))
-def page_regex_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A regex list in column expressions: groups as parallel arrays, dealt out by place."""
-    rx, pages = r'<a href="/([^"]*)">([^<]*)</a>', table(spark, sf_dir, "pages")
-    groups = [F.regexp_extract_all("html", F.lit(rx), F.lit(k)).alias(f"g{k}") for k in (1, 2)]
-    rows = pages.select("page_id", F.posexplode(F.arrays_zip(*groups)).alias("seq", "_g"))
-    return rows.select("page_id", "seq", F.concat("_g.g2", F.lit(" ("), "_g.g1", F.lit(")")).alias("name"))
-
-
 @query(LINKS + ", n AS (SELECT page_id, list(title ORDER BY k) AS ts, count(*) AS n FROM links GROUP BY page_id) SELECT page_id, array_to_string(list_transform(list_filter([n - 1, 1, 2], lambda x: x < n), lambda x: ts[x + 1]), '|') AS picked, array_to_string(list_concat(ts[1:1], ts[3:]), '|') AS rest FROM n")
 def page_array_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index lists on arrays without leaving the JVM."""
@@ -136,42 +127,20 @@ def page_strip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.length(T.no_tags(h)).cast("long").alias("text_chars"), F.length(T.no_scripts(h)).cast("long").alias("quiet_chars"))
 
 
-@query(r"""WITH b AS (SELECT page_id AS seq, regexp_extract(url, '^([a-z]+://[^/]*/[a-z]+)/', 1) AS "bookUrl" FROM pages WHERE page_id % 5 = 0),
+@query(r"""WITH b AS (SELECT page_id AS seq, regexp_extract(url, '^([a-z]+://[^/]*/[a-z]+)/', 1) AS "bookUrl" FROM pages),
 p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS h, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p FROM pages),
 c AS (SELECT seq, "bookUrl", regexp_extract("bookUrl", '^[a-z]+://([^/?#:]*)', 1) AS h, regexp_extract("bookUrl", '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p FROM b)
 SELECT page_id, url, arg_min("bookUrl", seq) AS "bookUrl" FROM p JOIN c USING (h) WHERE starts_with(url, "bookUrl") OR starts_with(p.p, c.p) OR starts_with(c.p, p.p) GROUP BY page_id, url""")
 def prefix_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    books = pages.where("page_id % 5 = 0").select(F.col("page_id").alias("seq"), F.regexp_extract("url", "^([a-z]+://[^/]*/[a-z]+)/", 1).alias("bookUrl"))
+    books = pages.select(F.col("page_id").alias("seq"), F.regexp_extract("url", "^([a-z]+://[^/]*/[a-z]+)/", 1).alias("bookUrl"))
     return joins.chapter_books(pages.select("page_id", "url"), books)
 
 
-@query(r"""WITH s AS (SELECT url AS "sourceUrl", page_id AS updated, string_split(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1), '.')[-2] AS d FROM pages WHERE page_id % 7 = 0),
+@query(r"""WITH s AS (SELECT url AS "sourceUrl", page_id AS updated, string_split(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1), '.')[-2] AS d FROM pages),
 b AS (SELECT d, arg_max("sourceUrl", updated) AS "sourceUrl" FROM s GROUP BY d)
 SELECT page_id, url, b."sourceUrl" FROM (SELECT page_id, url, string_split(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1), '.')[-2] AS d FROM pages) p LEFT JOIN b USING (d)""")
 def domain_source_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    sources = pages.where("page_id % 7 = 0").select(F.col("url").alias("sourceUrl"), F.col("page_id").alias("updated"))
+    sources = pages.select(F.col("url").alias("sourceUrl"), F.col("page_id").alias("updated"))
     return joins.domain_sources(pages.select("page_id", "url"), sources)
-
-
-@query(r"""WITH a AS (SELECT page_id AS id, url FROM pages), e AS (SELECT url, min(id) AS exact FROM a WHERE id % 3 = 0 GROUP BY url), d AS (SELECT string_split(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1), '.')[-2] AS d, min(id) AS near FROM a WHERE id % 3 = 0 GROUP BY 1)
-SELECT a.id, coalesce(e.exact, d.near) AS source, CASE WHEN e.exact IS NOT NULL THEN 'exact' WHEN d.near IS NOT NULL THEN 'domain' END AS way FROM a LEFT JOIN e USING (url) LEFT JOIN d ON d.d = string_split(regexp_extract(a.url, '^[a-z]+://([^/?#:]*)', 1), '.')[-2]""")
-def source_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chain of lookups: the first way that finds a source counts."""
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
-    known = pages.where("id % 3 = 0")
-    exact = known.groupBy("url").agg(F.min("id").alias("exact"))
-    near = known.groupBy(U.root_domain(F.col("url")).alias("d")).agg(F.min("id").alias("near"))
-    found = pages.join(exact, "url", "left").withColumn("d", U.root_domain(F.col("url"))).join(near, "d", "left")
-    return found.select("id", F.coalesce("exact", "near").alias("source"), F.when(F.col("exact").isNotNull(), "exact").when(F.col("near").isNotNull(), "domain").alias("way"))
-
-
-@query(r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS h FROM pages)
-SELECT page_id, lead(page_id) OVER w AS next_id, lag(page_id) OVER w AS prev_id, round(100.0 * row_number() OVER w / count(*) OVER (PARTITION BY h), 2) AS progress FROM p WINDOW w AS (PARTITION BY h ORDER BY url, page_id)""")
-def page_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Previous and next chapter, and how far a reader is."""
-    w = Window.partitionBy("h").orderBy("url", "page_id")
-    df = table(spark, sf_dir, "pages").withColumn("h", F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1))
-    share = F.round(F.row_number().over(w) * 100.0 / F.count("*").over(Window.partitionBy("h")), 2).cast("double")
-    return df.select("page_id", F.lead("page_id").over(w).alias("next_id"), F.lag("page_id").over(w).alias("prev_id"), share.alias("progress"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioq.functions import text as T
 from folioq.operators import graph, joins, merge, windows
@@ -24,34 +24,15 @@ def shelf_save_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.upserted(part.where("p_partkey % 2 = 0"), new, ["p_partkey"], {"p_size": True})
 
 
-@query("SELECT d.doc_id, d.source, coalesce(l.n, 0) AS cached, CASE WHEN d.source = 'src0' THEN 0 ELSE coalesce(l.n, 0) END AS shown FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id) l USING (doc_id)")
-def shelf_left_join_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cached chapters per book; local books show none."""
-    counts = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.count("*").alias("n"))
-    n = F.coalesce("n", F.lit(0)).cast("bigint")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(counts, "doc_id", "left")
-    return rows.select("doc_id", "source", n.alias("cached"), F.when(F.col("source") == "src0", F.lit(0)).otherwise(n).cast("bigint").alias("shown"))
-
-
-@query("SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 0)")
-def delete_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").where("quality = 0"), "doc_id", "left_semi")
-
-
-@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 0)")
-def delete_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").where("quality = 0"), "doc_id", "left_anti")
-
-
 SHELF = "SELECT CASE WHEN p_partkey % 4 = 0 THEN 'local-txt:' ELSE 'https://b/' END || p_partkey AS bookUrl, p_name AS name, p_brand AS author FROM part"
-_TARGETS = f"WITH s AS ({SHELF}), t AS (SELECT * FROM s WHERE hash(bookUrl) IS NOT NULL AND CAST(regexp_extract(bookUrl, '(\\d+)$', 1) AS BIGINT) % 17 = 3)"
+_TARGETS = f"WITH s AS ({SHELF}), t AS (SELECT s.* FROM s JOIN part ON bookUrl = CASE WHEN p_partkey % 4 = 0 THEN 'local-txt:' ELSE 'https://b/' END || p_partkey WHERE p_size <= 3)"
 _HIT = "EXISTS (SELECT 1 FROM t WHERE t.bookUrl = s.bookUrl OR (t.name = s.name AND t.author = s.author AND NOT starts_with(s.bookUrl, 'local-') AND NOT starts_with(t.bookUrl, 'local-')))"
 
 
 def _shelf(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     part = table(spark, sf_dir, "part")
-    shelf = part.select(F.concat(F.when(F.col("p_partkey") % 4 == 0, "local-txt:").otherwise("https://b/"), "p_partkey").alias("bookUrl"), F.col("p_name").alias("name"), F.col("p_brand").alias("author"))
-    return shelf, shelf.where(F.regexp_extract("bookUrl", r"(\d+)$", 1).cast("bigint") % 17 == 3)
+    shelf = part.select(F.concat(F.when(F.col("p_partkey") % 4 == 0, "local-txt:").otherwise("https://b/"), "p_partkey").alias("bookUrl"), F.col("p_name").alias("name"), F.col("p_brand").alias("author"), "p_size")
+    return shelf.drop("p_size"), shelf.where("p_size <= 3").drop("p_size")
 
 
 @query(f"{_TARGETS} SELECT * FROM s WHERE {_HIT}")
@@ -65,15 +46,6 @@ def shelf_delete_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.targets_of(*_shelf(spark, sf_dir), keep=False)
 
 
-@query("""WITH c AS (SELECT p_partkey AS seq, p_name, p_brand, p_type, 3 * CAST(regexp_replace(p_name, '\\s', '', 'g') = 'smallring' AS INTEGER) + 3 * CAST(p_brand = 'Brand#2' AS INTEGER) + 4 * CAST(p_type = 'ECONOMY' AS INTEGER) AS score FROM part)
-SELECT seq, score FROM c ORDER BY score DESC, seq LIMIT 20""")
-def candidate_score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate sources by how much of a book they match; the list shows twenty."""
-    hit = lambda c, w: F.when(c, F.lit(w)).otherwise(F.lit(0))
-    score = hit(T.no_space(F.col("p_name")) == "smallring", 3) + hit(F.col("p_brand") == "Brand#2", 3) + hit(F.col("p_type") == "ECONOMY", 4)
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), score.alias("score")).orderBy(F.desc("score"), "seq").limit(20)
-
-
 @query("""WITH c AS (SELECT p_partkey AS seq, p_brand AS origin, p_name AS "bookUrl" FROM part WHERE p_brand <> 'Brand#1'), d AS (SELECT *, row_number() OVER (PARTITION BY origin, "bookUrl" ORDER BY seq) AS n FROM c)
 SELECT seq, origin, "bookUrl" FROM d WHERE n = 1""")
 def candidate_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,21 +77,6 @@ def hierarchy_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.hierarchy(rows)
 
 
-@query("SELECT max(o_orderkey) + 1 AS next_id, arg_min(o_orderpriority, (CASE WHEN o_totalprice <= 1000 THEN 9e18 ELSE o_totalprice END, o_orderkey)) AS admin, count(*) AS n FROM orders")
-def id_and_admin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next id, and the first of an order in which missing times come last."""
-    t = F.when(F.col("o_totalprice") <= 1000, F.lit(9e18)).otherwise(F.col("o_totalprice"))
-    return table(spark, sf_dir, "orders").agg((F.max("o_orderkey") + 1).alias("next_id"), F.min_by("o_orderpriority", F.struct(t, "o_orderkey")).alias("admin"), F.count("*").alias("n"))
-
-
-@query("SELECT c_custkey, c_name, n_name AS origin, coalesce(r_name, c_mktsegment) AS \"group\" FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey < 3")
-def display_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with their source's name and group, or what stands in for them. Dimensions are broadcast after a count."""
-    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    rows = c.join(joins.small(n), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(joins.small(r.where("r_regionkey < 3")), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return rows.select("c_custkey", "c_name", F.col("n_name").alias("origin"), F.coalesce("r_name", "c_mktsegment").alias("group"))
-
-
 @query("SELECT c_custkey, coalesce(o.p, c_acctbal) AS c_acctbal, c_mktsegment FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS p FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) o ON o_custkey = c_custkey")
 def recent_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shelf's values over those of the recent list."""
@@ -138,51 +95,3 @@ def from_current_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def list_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").alias("pos"))
     return windows.moved(rows, [], "pos", 20, 3)
-
-
-@query("SELECT l_shipmode AS kind, n FROM (SELECT l_returnflag AS l_shipmode, count(*) AS n FROM lineitem GROUP BY 1)")
-def flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("kind")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT o_custkey, count(*) AS n, sum(CAST(round(o_totalprice) AS BIGINT)) AS bytes, max(o_orderdate) AS updated FROM orders GROUP BY o_custkey")
-def cache_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cached chapters per book: how many, their size, the latest."""
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum(F.round("o_totalprice").cast("bigint")).alias("bytes"), F.max("o_orderdate").alias("updated"))
-
-
-@query("SELECT c_custkey FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), 'build') AND NOT contains(c_name, '9')")
-def shelf_text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
-    return c.where(F.contains(F.lower(F.concat_ws(" ", "c_name", "c_mktsegment")), F.lit("build")) & ~F.contains("c_name", F.lit("9"))).select("c_custkey")
-
-
-@query("SELECT s_suppkey, CASE WHEN n IS NOT NULL THEN 'shelf' ELSE 'none' END AS found, coalesce(n, 0) AS n FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_quantity > 48 GROUP BY l_suppkey) ON l_suppkey = s_suppkey")
-def fallback_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The network's copy or else the cache's: a left join and what stands in."""
-    n = table(spark, sf_dir, "lineitem").where("l_quantity > 48").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"))
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey").join(n, "s_suppkey", "left")
-    return rows.select("s_suppkey", F.when(F.col("n").isNotNull(), "shelf").otherwise("none").alias("found"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
-
-
-@query("""WITH l AS (SELECT n_name AS name, n_regionkey AS r, upper(substr(n_name, 1, 3)) AS tag FROM nation), c AS (SELECT a.name, b.name AS parent, length(b.name) AS n FROM l a JOIN l b ON a.r = b.r AND a.name <> b.name AND contains(a.name || ' near ' || b.tag, b.tag)) SELECT name, max(parent) AS parent FROM c GROUP BY name""")
-def location_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parents inferred from mentions, within one region (an equality key)."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("r"))
-    a, b = n.alias("a"), n.alias("b")
-    tag = F.upper(F.substring("b.name", 1, 3))
-    hit = (F.col("a.r") == F.col("b.r")) & (F.col("a.name") != F.col("b.name")) & F.contains(F.concat("a.name", F.lit(" near "), tag), tag)
-    return a.join(b, hit).groupBy(F.col("a.name").alias("name")).agg(F.max("b.name").alias("parent"))
-
-
-@query("SELECT p_type, array_to_string(list(p_partkey ORDER BY p_partkey), '|')[1:200] AS signature, count(DISTINCT p_brand) AS brands FROM part GROUP BY p_type")
-def change_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A group's sorted members as one string, to see changes by."""
-    ids = F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: x.cast("string"))
-    return table(spark, sf_dir, "part").groupBy("p_type").agg(F.substring(F.array_join(ids, "|"), 1, 200).alias("signature"), F.countDistinct("p_brand").alias("brands"))
-
-
-@query("SELECT p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_size, p_name, p_partkey) AS rank FROM part")
-def multi_key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("p_type").orderBy("p_size", "p_name", "p_partkey")
-    return table(spark, sf_dir, "part").select("p_partkey", F.row_number().over(w).cast("bigint").alias("rank"))

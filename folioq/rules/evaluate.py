@@ -1,6 +1,7 @@
 """Rule sets over one response: lists, fields, book info, chapters, content.
 
-Scripts are a plug-in: a mapping from a script's text to a Python function of (input, bindings). Others give nothing.
+A script is run by the interpreter of `script`, with the library (jsLib) of its rules, unless a Python function of
+(input, bindings) is given for its text. One that fails gives nothing.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from folioq.rules import extract
 from folioq.rules.links import resolve
 from folioq.rules.modes import is_json, mode, ordered, stripped
 from folioq.rules.replace import chain, chained, pattern
+from folioq.rules.script import ScriptError, evaluated
 
 Script = Callable[[str, Mapping[str, str]], object]
 BOOK = ("name", "author", "kind", "wordCount", "lastChapter", "updateTime", "intro", "coverUrl", "bookUrl")
@@ -39,10 +41,17 @@ class Context:
     stored: dict[str, str] = _field(default_factory=dict)
     scripts: Mapping[str, Script] = _field(default_factory=dict)
     bindings: Mapping[str, str] = _field(default_factory=dict)
+    library: str = ""
 
-    def run(self, script: str, value: str, **more: str) -> str:
+    def run(self, script: str, value: str, **more: object) -> str:
         got = self.scripts.get(script.strip())
-        out = got(value, {"baseUrl": self.base, "result": value, **self.bindings, **more}) if got else None
+        if got is None:
+            known = {"baseUrl": self.base, "base_url": self.base, "url": self.base, **self.bindings, **more}
+            try:
+                return evaluated(script, value, known, self.library, self.stored)
+            except ScriptError:
+                return ""
+        out = got(value, {"baseUrl": self.base, "result": value, **self.bindings, **more})
         return "" if out is None else out if isinstance(out, str) else json.dumps(out, ensure_ascii=False)
 
 
@@ -193,7 +202,7 @@ def rows(body: str, base: str, list_rule: str, fields: Mapping[str, str], ctx: C
 
 def books(body: str, base: str, rules: Mapping[str, str], pattern_of_detail: str = "", scripts: Mapping[str, Script] | None = None) -> list[dict]:
     """Search or explore results; a page without items is one book, if no pattern says what a detail page looks like."""
-    ctx = Context(base, scripts=scripts or {})
+    ctx = Context(base, scripts=scripts or {}, library=rules.get("jsLib") or "")
     fields = {k: rules[k] for k in BOOK if rules.get(k)}
     found = rows(body, base, rules["bookList"], fields, ctx) if rules.get("bookList") else []
     if not found and not pattern_of_detail.strip():
@@ -231,7 +240,7 @@ def book_info(body: str, base: str, rules: Mapping[str, str], ctx: Context | Non
 
 def chapters(body: str, base: str, rules: Mapping[str, str], scripts: Mapping[str, Script] | None = None) -> tuple[list[dict], list[str]]:
     """Chapters in order, each URL once, numbered after reversal; and the next pages' URLs."""
-    ctx = Context(base, scripts=scripts or {})
+    ctx = Context(base, scripts=scripts or {}, library=rules.get("jsLib") or "")
     if rules.get("preUpdateJs"):
         body = ctx.run(rules["preUpdateJs"], body) or body
     rule, back = ordered(rules["chapterList"])
@@ -247,7 +256,7 @@ def chapters(body: str, base: str, rules: Mapping[str, str], scripts: Mapping[st
     out = list(found.values())
     if rules.get("formatJs"):
         for n, c in enumerate(out, 1):
-            c["title"] = ctx.run(rules["formatJs"], c["title"], index=str(n), title=c["title"]).strip() or c["title"]
+            c["title"] = ctx.run(rules["formatJs"], c["title"], index=n, title=c["title"], chapter=c).strip() or c["title"]
     out = out[::-1] if back else out
     for n, c in enumerate(out):
         c["index"] = n
@@ -267,9 +276,21 @@ def links(body: str, base: str, rule: str | None, ctx: Context) -> list[str]:
     return list(dict.fromkeys(u for x in found if x and (u := resolve(base, x)) and u != base))
 
 
+def checked(body: str, base: str, script: str | None, scripts: Mapping[str, Script] | None = None, library: str = "") -> tuple[str, str]:
+    """A response as its source's login check leaves it: (body, URL). The script gives a text, or an object with body and url."""
+    if not (script or "").strip():
+        return body, base
+    out = Context(base, scripts=scripts or {}, library=library).run(script, json.dumps({"body": body, "url": base}, ensure_ascii=False) if "JSON.parse" in script else body, body=body)
+    if is_json(out):
+        got = json.loads(out)
+        if isinstance(got, dict) and isinstance(got.get("body"), str):
+            return got["body"], got.get("url") or base
+    return out or body, base
+
+
 def content(body: str, base: str, rules: Mapping[str, str], scripts: Mapping[str, Script] | None = None) -> tuple[str | None, str | None]:
     """A chapter's text after its replacements, and the URL of its next page."""
-    ctx = Context(base, scripts=scripts or {})
+    ctx = Context(base, scripts=scripts or {}, library=rules.get("jsLib") or "")
     source = (rules.get("sourceRegex") or "").strip()
     if source and (p := pattern(source)) and (m := p.search(body)):
         body = m[1] if m.groups() and m[1] else m[0]

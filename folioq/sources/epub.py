@@ -131,7 +131,11 @@ def chapters(raw: bytes, namespace: str = "default") -> Iterator[dict]:
 
 def read(spark: SparkSession, path: str, namespace: str = "default") -> DataFrame:
     """A row per chapter of every .epub file below path; a file that can't be read gives one row with its problem."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.epub").load(path)
+    return imported(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.epub").load(path), namespace)
+
+
+def imported(files: DataFrame, namespace: str = "default") -> DataFrame:
+    """The same of files (content), wherever they come from."""
     names = [c.split()[0] for c in ROW.split(", ")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

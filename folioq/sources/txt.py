@@ -12,7 +12,11 @@ MOST_BYTES = 50 << 20
 
 def read(spark: SparkSession, path: str, namespace: str = "default") -> DataFrame:
     """(bookUrl, name, text, problem) of every .txt file below path that isn't empty (Spark lists no empty files)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[tT][xX][tT]").load(path)
+    return imported(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[tT][xX][tT]").load(path), namespace)
+
+
+def imported(files: DataFrame, namespace: str = "default") -> DataFrame:
+    """The same of files (path, length, content), wherever they come from."""
     problem = F.when(F.col("length") > MOST_BYTES, "too large")
     rows = with_text(files.select("path", "length", F.when(problem.isNull(), F.col("content")).alias("content")), "content", plain=True)
     name = F.regexp_replace(F.regexp_extract(F.url_decode("path"), r"([^/]+?)(?:\.[^.]*)?$", 1), r'[\\/:*?"<>|\x00-\x1F]', "_")

@@ -26,25 +26,89 @@ def first_arrivals(rows: DataFrame, seq: str = "seq") -> DataFrame:
     return rows.withColumn("_key", merge_key(F.col("name"), F.col("author"))).dropDuplicates(["_key"]).drop("_key")
 
 
-def search(rows: DataFrame, sink: str, checkpoint: str, enough: int, cursor: str = "source_index", on_batch: Callable[[int, int, int], None] | None = None) -> StreamingQuery:
+def search(rows: DataFrame, sink: str, checkpoint: str, enough: int, cursor: str = "source_index", on_batch: Callable[[int, int, int], None] | None = None, deduplicated: bool = False) -> StreamingQuery:
     """Writes new results batch by batch until there are `enough`; on_batch gets (batch, rows so far, last cursor).
 
-    A batch's files carry its number, so that a batch that runs again replaces itself.
+    A batch's files carry its number, so that a batch that runs again replaces itself. What there is already is read from
+    the sink: a stream that starts again from its checkpoint goes on counting where it was.
     """
-    state = {"total": 0, "last": -1}
 
     def write(batch: DataFrame, number: int) -> None:
-        if state["total"] >= enough:
-            return
         spark = batch.sparkSession
+        before = progress(spark, sink, batch.schema, cursor, number)
+        if before["total"] >= enough:
+            return
         batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
-        got = spark.read.parquet(f"{sink}/batch={number}").agg(F.count("*").alias("n"), F.max(cursor).alias("last")).first()
-        state["total"] += got["n"]
-        state["last"] = got["last"] if got["last"] is not None else state["last"]
         if on_batch:
-            on_batch(number, state["total"], state["last"])
+            now = progress(spark, sink, batch.schema, cursor, number + 1)
+            on_batch(number, now["total"], now["last"])
+
+    return (rows if deduplicated else first_arrivals(rows)).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def progress(spark: SparkSession, sink: str, schema: StructType, cursor: str = "source_index", upto: int | None = None, enough: int | None = None) -> dict:
+    """How far a search has come by its sink's batches below `upto`: total, the last finished source, and whether more is wanted."""
+    whole = StructType([*schema.fields]).add("batch", "integer")
+    try:
+        rows = spark.read.schema(whole).parquet(sink)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        rows = spark.createDataFrame([], whole)
+    rows = rows if upto is None else rows.where(F.col("batch") < upto)
+    got = rows.agg(F.count("*").alias("n"), F.max_by(cursor, F.struct("batch", cursor)).alias("last")).first()
+    return {"total": got["n"], "last": got["last"] if got["last"] is not None else -1, "has_more": enough is None or got["n"] < enough}
 
-    return first_arrivals(rows).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def switch_search(rows: DataFrame, name: str, author: str, sink: str, checkpoint: str, enough: int = 30, **how) -> StreamingQuery:
+    """Candidates for another source of a book: rows of exactly its name and author, kept in the sink as they come."""
+    same = rows.where((F.col("name") == name) & (F.col("author") == author)).withColumn("_once", F.concat_ws("::", "origin", "bookUrl"))
+    return search(same.dropDuplicates(["_once"]).drop("_once"), sink, checkpoint, enough, deduplicated=True, **how)
+
+
+def cache_progress(results: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    """Counts of chapters cached, fetched and failed after each batch: (batch, cached, success, failed), the last one is the end's.
+
+    results: (status) of finished chapters, one of cached, success and failed. Counts go on from the sink's own last row.
+    """
+    kinds = ("cached", "success", "failed")
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        schema = "cached bigint, success bigint, failed bigint, batch int"
+        try:
+            before = spark.read.schema(schema).parquet(sink).where(F.col("batch") < number)
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            before = spark.createDataFrame([], schema)
+        last = before.agg(*[F.max(k).alias(k) for k in kinds])
+        now = batch.agg(*[F.count_if(F.col("status") == k).alias(k) for k in kinds])
+        both = now.crossJoin(last.toDF(*[f"_{k}" for k in kinds]))  # a row by a row
+        both.select(*[(F.col(k) + F.coalesce(f"_{k}", F.lit(0))).cast("bigint").alias(k) for k in kinds]).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    return results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def appended(chapters: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    """Further pages of a table of contents as they come: (seq, title, url) go behind what the sink has, once each, indexed anew."""
+    from pyspark.sql import Window
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        schema = "title string, url string, `index` bigint, batch int"
+        try:
+            before = spark.read.schema(schema).parquet(sink).where(F.col("batch") < number)
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            before = spark.createDataFrame([], schema)
+        have = before.count()
+        fresh = batch.join(before.select("url").distinct(), "url", "left_anti").groupBy("url").agg(F.min(F.struct("seq", "title")).alias("r"))
+        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("r.seq", "url")) - 1 + have  # one book's list
+        fresh.select("r.title", "url", place.cast("bigint").alias("index")).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    return chapters.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def sessions(calls: DataFrame, user: str, ts: str, lifetime: str, late: str = "0 seconds") -> DataFrame:

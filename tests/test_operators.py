@@ -1,6 +1,5 @@
 """Operators by example: merges, graphs, chapters, functions, streams."""
 
-import inspect
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,13 +75,16 @@ def test_recursion(spark):
     assert [(r["index"], r["title"]) for r in recurse.catalogue(ch, chain).orderBy("index").collect()] == [(0, "A"), (1, "B")]
 
 
-def test_recursion_has_no_silent_bound(spark):
-    links = spark.createDataFrame([("p1", "p2"), ("p2", "p3"), ("p3", "p4"), ("p4", None)], "url string, next string")
-    starts = spark.createDataFrame([("p1", "P")], "url string, chain string")
-    assert inspect.signature(recurse.followed).parameters["most"].default is None
-    assert recurse.followed(starts, links, most=3).count() == 4
-    with pytest.raises(ValueError):
-        recurse.followed(starts, links, most=2)
+def test_recursion_goes_on_to_the_end(spark):
+    links = spark.range(3000).selectExpr("concat('p', id) AS url", "CASE WHEN id < 2999 THEN concat('p', id + 1) END AS next")
+    starts = spark.createDataFrame([("p1", "P"), ("p2990", "Q")], "url string, chain string")
+    got = recurse.followed(starts, links).groupBy("chain").agg({"depth": "max", "url": "count"}).collect()
+    assert {r["chain"]: (r["max(depth)"], r["count(url)"]) for r in got} == {"P": (2998, 2999), "Q": (9, 10)}
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "a"), ("x", "b")], "url string, next string")
+    got = recurse.followed(spark.createDataFrame([("a", 1), ("x", 2)], "url string, chain int"), ring).collect()
+    assert {(r["chain"], r["url"], r["depth"]) for r in got} == {(1, "a", 0), (1, "b", 1), (1, "c", 2), (2, "x", 0), (2, "a", 1), (2, "b", 1), (2, "c", 2)}
+    deep = spark.range(45).selectExpr("concat('n', id) AS name", "CASE WHEN id > 0 THEN concat('n', id - 1) END AS parent")
+    assert graph.hierarchy(deep).agg({"depth": "max"}).first()[0] == 44
 
 
 def test_joins_and_positions(spark):
