@@ -37,6 +37,7 @@ def search(rows: DataFrame, sink: str, checkpoint: str, enough: int, cursor: str
         spark = batch.sparkSession
         before = progress(spark, sink, batch.schema, cursor, number)
         if before["total"] >= enough:
+            batch.write.format("noop").mode("overwrite").save()  # the state of what has arrived is kept all the same
             return
         batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
         if on_batch:

@@ -82,11 +82,11 @@ def test_rule_sets(spark):
     old = {"bookSourceUrl": "https://o", "bookSourceName": "Old", "ruleSearchUrl": "/s?q=searchKey&p={1,2}|charset=gbk", "ruleSearchList": ".l", "ruleSearchName": ".n@text", "serialNumber": "3", "bookSourceType": "AUDIO", "httpUserAgent": "UA", "ruleBookContent": "#c"}
     m = rulesets.migrated(old)
     assert m["ruleSearch"] == {"bookList": ".l", "name": ".n@text"} and m["ruleContent"] == {"content": "#c"} and m["bookSourceType"] == 1 and m["customOrder"] == 3 and json.loads(m["header"]) == {"User-Agent": "UA"}
-    assert m["searchUrl"] == '/s?q={{key}}&p=<1,2>,{"charset": "gbk"}'
+    assert m["searchUrl"] == '/s?q={{key}}&p=<1,2>,{"charset":"gbk"}'
     new = {"bookSourceUrl": "https://n", "ruleSearch": '{"bookList":".x"}', "ruleToc": "null", "weight": "5", "enabled": False}
     assert rulesets.migrated(new)["ruleSearch"] == {"bookList": ".x"} and rulesets.migrated(new)["ruleToc"] == {} and rulesets.migrated(new)["weight"] == 5
     rows = rulesets.read(spark.createDataFrame([(json.dumps({"bookSourceList": [old, new]}),), (json.dumps([new]),), ("oops",)], "value string")).collect()
-    assert len(rows) == 3 and sorted(r["bookSourceUrl"] for r in rows) == ["https://n", "https://n", "https://o"]
+    assert len(rows) == 4 and sorted(r["bookSourceUrl"] or r["problem"][:7] for r in rows) == ["https://n", "https://n", "https://o", "no JSON"]
     assert [k["title"] for k in rulesets.explore_kinds("排行::/rank&&完本::/done")] == ["排行", "完本"] and rulesets.explore_kinds('[<"title":"a","url":"/x","style":<"w":1>>]') == [{"title": "a", "url": "/x", "style": {"w": 1}}]
     assert [b["bookUrl"] for b in rulesets.recovered('[{"bookUrl":"a"},{"bookUrl":"b"}]{"bookUrl":"a"} junk {"bookUrl": {"bookUrl":"c"}')] == ["a", "b", "c"]
 
@@ -138,4 +138,4 @@ def test_listing_and_feed_sources(spark, tmp_path):
     assert sorted(r["name"] for r in rows.collect()) == ["a.txt", "b.txt", "c.txt"]
     assert [(r["name"], r["is_folder"]) for r in files.children(rows, f"file:{tmp_path}").collect()] == [("d", True), ("a.txt", False), ("b.txt", False)]
     feeds = spark.createDataFrame([('{"rssSources":[{"sourceUrl":"u","enabled":false},{"x":1}]}',), ("[",)], "value string")
-    assert [(r["sourceUrl"], r["enabled"]) for r in rulesets.read_feeds(feeds).collect()] == [("u", False)]
+    assert [(r["sourceUrl"], r["enabled"], r["problem"] is None) for r in rulesets.read_feeds(feeds).collect()] == [("u", False, True), (None, None, False)]
