@@ -129,12 +129,15 @@ def mix(rows: DataFrame, source: str = "source", **how) -> DataFrame:
     return known.join(each, ROW, "left").withColumns({"taken": F.coalesce("taken", F.lit(0)).cast("long"), "turns": F.coalesce("turns", F.lit(0)).cast("int")})
 
 
-def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The mix: df's columns, once for each turn of which at least half is served before the budget ends, sorted by virtual finish."""
-    rows = written(sized(df, text, [key]), "mix-rows")
-    taken, _ = schedule(rows, source, **how)
-    turns = taken.join(rows.select(ROW, "size"), ROW).where("2 * words >= size").select(ROW, "epoch", "virtual_finish")
-    return rows.join(turns, ROW).orderBy("virtual_finish", ROW, "epoch").select(*[F.col(f"`{c}`") for c in df.columns])
+def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, **how) -> DataFrame:
+    """The mix: df's columns as they are, once for each turn of which at least half is served before the budget ends, sorted by virtual finish."""
+    rows = written(df.withColumn(ROW, F.monotonically_increasing_id()), "mix-rows")
+    sizes = rows.select(ROW, F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("order_key"))
+    sizes = written(sizes, "mix-sizes")
+    taken, _ = schedule(sizes, "source", **how)
+    turns = taken.join(sizes.select(ROW, "size"), ROW).where("2 * words >= size").select(ROW, "epoch", "virtual_finish")
+    # few columns go with the texts: the turns are what is joined, once, and then sorted
+    return rows.join(turns.toDF(ROW, "_folioq_epoch", "_folioq_finish"), ROW).orderBy("_folioq_finish", ROW, "_folioq_epoch").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,12 @@ precision on the other third), keeps it if it is precise enough there, takes the
 The result is an ordered list of readable conditions, emitted as one Spark conditional expression: the first rule that
 holds rejects the document, no rule keeps it.
 
+What bounds the model: SAMPLE labelled rows to learn from; a rule has up to LITERALS thresholds, each at one of CUTS ranks
+of a rate's values over all rows and over the rejected ones; MAX_RULES rules at most, though the pruning part ends the
+list as soon as a rule is not precise (MIN_PRECISION) or covers fewer than MIN_COVER rows. Windows of words are compared
+by 64-bit hashes of 64-bit hashes: two different ones in a text of a million words are taken for equal with a chance of
+about 1 in 40 million.
+
 Null and empty texts have no words, all counts 0, and fail the base rule. Repeated rows are judged one by one. Without
 labels (an empty table, all null, or one class only) the list is empty and the base rule alone decides. Columns of the
 input that have an output's name give way to it.
