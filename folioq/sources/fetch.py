@@ -36,7 +36,7 @@ def requests(rows: DataFrame, rule: str, key: str = "key", page: str = "page", b
             out = []
             for k, p in zip(batch.column(at[0]).to_pylist(), batch.column(at[1]).to_pylist()):
                 r = compile_url(rule, k or "", p or 1, base, headers, scripts)
-                out.append({"url": r.url, "method": r.method, "headers": [{"k": a, "v": b} for a, b in r.headers], "body": r.body, "retry": r.retry, "responseType": r.response_type, "charset": r.charset, "proxy": r.proxy, "serverId": r.server_id, "webView": r.web_view, "webJs": r.web_js, "webViewDelayTime": r.web_view_delay_ms})
+                out.append({"url": r.url, "method": r.method, "headers": [{"k": a, "v": b} for a, b in r.headers], "body": r.body, "retry": r.retry, "responseType": r.as_hex, "charset": r.charset, "proxy": r.proxy, "serverId": r.server, "webView": r.rendering.wanted, "webJs": r.rendering.script, "webViewDelayTime": r.rendering.wait_ms})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow)], names=names)
 
     return rows.mapInArrow(made, StructType([*rows.schema.fields, StructField("request", kind)]))

@@ -51,15 +51,15 @@ def test_epub_problems():
 def test_epub_and_text_files(spark, tmp_path):
     (tmp_path / "b.epub").write_bytes(book())
     assert epub.read(spark, str(tmp_path)).count() == 2
-    (tmp_path / "书.txt").write_bytes("﻿序言\n这里是序言。\n第1章 初见\n第一章正文。\n第二章 重逢\n第二章正文。\n".encode())
-    (tmp_path / "gb.txt").write_bytes("第一章初见\n正文\n第2章重逢\n第3章\n".encode("gb18030"))
+    (tmp_path / "书.txt").write_bytes("﻿开篇\n先说几句。\n第1章 起程\n第一章正文。\n第二章 归来\n第二章正文。\n".encode())
+    (tmp_path / "gb.txt").write_bytes("第一章起程\n正文\n第2章归来\n第3章\n".encode("gb18030"))
     (tmp_path / "plain.txt").write_bytes("nothing here\n".encode())
     (tmp_path / "empty.txt").write_bytes(b"")
     books = txt.read(spark, str(tmp_path))
     assert books.count() == 3 and books.where('problem IS NOT NULL').count() == 0  # Spark doesn't list empty files
     got = {r["name"]: r["t"] for r in txt.chapters(books).join(books.select("bookUrl", "name"), "bookUrl").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("index", "title", "content"))).alias("t")).collect()}
-    assert [(c["title"], c["content"]) for c in got["书"]] == [("序章", "序言\n这里是序言。"), ("第1章 初见", "第一章正文。"), ("第二章 重逢", "第二章正文。")]
-    assert [(c["title"], c["content"]) for c in got["gb"]] == [("第一章初见", "正文"), ("第2章重逢", ""), ("第3章", "")]
+    assert [(c["title"], c["content"]) for c in got["书"]] == [("序章", "开篇\n先说几句。"), ("第1章 起程", "第一章正文。"), ("第二章 归来", "第二章正文。")]
+    assert [(c["title"], c["content"]) for c in got["gb"]] == [("第一章起程", "正文"), ("第2章归来", ""), ("第3章", "")]
     assert [(c["title"], c["content"]) for c in got["plain"]] == [("正文", "nothing here")]
 
 
