@@ -128,11 +128,11 @@ def test_resolve(base, link, want):
 
 
 def test_urls():
-    r = U.compile_url('/search?q={{key}}&page=<1,2,3>,{"headers":{"Referer":"https://r"},"retry":3,"type":"hex"}', "斗破", 2, "https://a.test", '{"X-Token":"t"}')
-    assert (r.url, r.retry, r.as_hex) == ("https://a.test/search?q=%E6%96%97%E7%A0%B4&page=2", 3, "hex") and [k for k, _ in r.headers] == ["User-Agent", "X-Token", "Referer"]
-    assert U.compile_url('https://x/s?t=1&k={{key}},{"charset":"gbk"}', "斗破").url.endswith("k=%B6%B7%C6%C6")
+    r = U.compile_url('/search?q={{key}}&page=<1,2,3>,{"headers":{"Referer":"https://r"},"retry":3,"type":"hex"}', "远山", 2, "https://a.test", '{"X-Token":"t"}')
+    assert (r.url, r.retry, r.as_hex) == ("https://a.test/search?q=%E8%BF%9C%E5%B1%B1&page=2", 3, "hex") and [k for k, _ in r.headers] == ["User-Agent", "X-Token", "Referer"]
+    assert U.compile_url('https://x/s?t=1&k={{key}},{"charset":"gbk"}', "远山").url.endswith("k=%D4%B6%C9%BD")
     assert U.compile_url('https://x/s,{"method":"POST","body":"line1\nline2"}').body == "line1\nline2"
-    assert U.compile_url("/book/so/{key}/{page}.html", "星门", 3, "https://b.test").url == "https://b.test/book/so/%E6%98%9F%E9%97%A8/3.html"
+    assert U.compile_url("/find/by/{key}/{page}.html", "河灯", 3, "https://b.test").url == "https://b.test/find/by/%E6%B2%B3%E7%81%AF/3.html"
     assert U.lenient_headers("{'A':'b', 'C': \"d\"}") == {"A": "b", "C": "d"} and U.page_choice("/<a,b>", 9) == "/b" and U.escaped("é 中") == "%E9%20%u4E2D"
     assert U.compile_url("<js>k</js>/x?r=@result", scripts={"k": lambda v, b: "1"}, base="https://h").url == "https://h/x?r=1"
 
