@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from folioq.llm.common import collected, dropped, packed, small_batches, table, unpacked, without, written
+from folioq.llm.common import collected, dropped, packed, partitions, small_batches, table, unpacked, without, written
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 FAN, ROWS, QUERIES = 8, 200_000, 8_192
@@ -225,7 +225,10 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius > RADIUS:
         raise ValueError(f"the tables find differences of up to {RADIUS} bits")
     rows = F.array(*[F.struct(F.lit(k).cast("bigint").alias("t"), F.col("fp").bitwiseAND(F.lit(signed(_key_mask(k)))).alias("key")) for k in range(9)])
-    keyed = classes.select("fp", F.explode(rows).alias("k")).select(F.xxhash64("k.t", "k.key").alias("key"), "k.t", "fp").repartition("key").sortWithinPartitions("key")
+    keyed = classes.select("fp", F.explode(rows).alias("k")).select(F.xxhash64("k.t", "k.key").alias("key"), "k.t", "fp")
+    # the rows are small and the search is not: tasks follow the rows' number, not their bytes
+    n = max(partitions(classes.sparkSession), -(-9 * classes.count() // ROWS))
+    keyed = keyed.repartition(n, "key").sortWithinPartitions("key")
     return keyed.mapInArrow(_linked(radius), "a bigint, b bigint")
 
 
