@@ -23,5 +23,11 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return register
 
 
+#: Tables of long texts: what is done to a row takes longer than to deal it out.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """A table; long texts are dealt out over all cores where their files have fewer parts than there are cores."""
+    df, cores = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")), spark.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
