@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from folioq.functions.text import hits, snippet
+from folioq.operators.positions import placed
 
 #: A chapter's heading, trimmed: a number of a chapter, section or volume and perhaps a title; an unspaced title doesn't end a sentence; fixed value.
 HEADING = r"^(?:第[\p{N}零〇一二两三四五六七八九十百千万壹贰叁肆伍陆柒捌玖拾佰仟]+[章节回卷部集篇]|卷[\p{N}零〇一二两三四五六七八九十百千万壹贰叁肆伍陆柒捌玖拾佰仟]+)(?:$|[\s:：、.．\-—].*|[^\s:：、.．\-—](?:.*[^。！？!?；;，,、])?)$"
@@ -86,4 +87,4 @@ def rewritten(texts: DataFrame, rules: Sequence[dict], text: str = "text", name:
 
 
 def reindexed(chapters_: DataFrame, by: Sequence[str], order: Sequence[str | Column], out: str = "index") -> DataFrame:
-    return chapters_.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    return placed(chapters_, by, order, out).withColumn(out, F.col(out).cast("int"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from folioq.functions.text import author_key, by_pinyin, no_space, tokens
+from folioq.operators.positions import placed, summed_before
+from folioq.operators.recurse import kept
 
 #: Limits of lists, fixed values.
 LIMITS = {"available": 20, "available_most": 100, "available_stream": 5, "search": 50, "switch": 30, "tested": 100, "recent": 100, "candidates": 20, "preview": 50, "local_books": 100, "errors": 500}
@@ -109,7 +111,7 @@ def within_limit(books: DataFrame, by: Sequence[str] = (), most: int = LIMITS["l
 
 def ranked(df: DataFrame, keys: Sequence[Column | str], by: Sequence[str] = (), out: str = "rank", most: int | None = None) -> DataFrame:
     """df with each row's place (from 1) in an order; up to `most` of a group."""
-    rows = df.withColumn(out, F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*keys)))
+    rows = placed(df, by, keys, out).withColumn(out, F.col(out) + 1)
     return rows if most is None else rows.where(F.col(out) <= most)
 
 
@@ -227,24 +229,25 @@ def signature(rows: DataFrame, by: Sequence[str], member: str) -> DataFrame:
 
 def neighbours(chapters: DataFrame, by: Sequence[str], order: Sequence[str], key: str) -> DataFrame:
     """Each chapter's previous and next one, whether there is one, and how far a reader is, in percent."""
-    w = Window.partitionBy(*by).orderBy(*order)
+    rows = kept(placed(chapters, by, order, "_k"), "places")
+    beside = lambda step, out: rows.select(*by, (F.col("_k") + step).alias("_k"), F.col(key).alias(out))
+    on = [*by, "_k"]
+    found = rows.join(beside(1, "prev_id"), on, "left").join(beside(-1, "next_id"), on, "left")
     total = chapters.groupBy(*by).agg(F.count("*").alias("_n"))
-    rows = chapters.withColumns({"prev_id": F.lag(key).over(w), "next_id": F.lead(key).over(w), "_k": F.row_number().over(w)}).join(total, list(by))
-    return rows.withColumns({"has_next": F.col("next_id").isNotNull(), "progress": F.round(F.col("_k") * 100.0 / F.col("_n"), 2).cast("double")}).drop("_k", "_n")
+    found = found.join(total, list(by))
+    return found.withColumns({"has_next": F.col("next_id").isNotNull(), "progress": F.round((F.col("_k") + 1) * 100.0 / F.col("_n"), 2).cast("double")}).drop("_k", "_n")
 
 
 def batched(results: DataFrame, by: Sequence[str], order: Sequence[str], size: int, most: int) -> DataFrame:
     """Results in batches of so many, in order, until `most` are there; last_index is the last one that counts in each group."""
-    k = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    rows = results.withColumn("_k", k).where(F.col("_k") < most)
-    last = rows.groupBy(*by).agg(F.max("_k").alias("last_index"))
-    return rows.withColumn("batch", F.floor(F.col("_k") / size)).withColumnRenamed("_k", "place").join(last, list(by))
+    rows = placed(results, by, order).where(F.col("place") < most)
+    last = results.groupBy(*by).agg((F.least(F.count("*"), F.lit(most)) - 1).alias("last_index"))
+    return rows.withColumn("batch", F.floor(F.col("place") / size)).join(last, list(by))
 
 
 def until_enough(rows: DataFrame, by: Sequence[str], order: Sequence[str], size: str, enough: int) -> DataFrame:
     """Rows until what came before them is enough."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("before", F.coalesce(F.sum(size).over(w), F.lit(0))).where(F.col("before") < enough)
+    return summed_before(rows, by, order, size).where(F.col("before") < enough)
 
 
 # joins

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from folioq.operators.positions import placed
+
 
 EPOCH = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{}`)"
 
@@ -52,5 +54,4 @@ def moved(items: DataFrame, by: Sequence[str], pos: str, start: int, to: int) ->
 
 
 def batches(items: DataFrame, by: Sequence[str], order: Sequence[str], size: int, out: str = "batch") -> DataFrame:
-    rn = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return items.withColumn(out, F.floor((rn - 1) / size))
+    return placed(items, by, order, out).withColumn(out, F.floor(F.col(out) / size))

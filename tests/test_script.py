@@ -85,3 +85,17 @@ def test_chapter_books_keeps_repeated_chapters(spark):
     books = spark.createDataFrame([("http://h/a/b", 2), ("http://h/a/b/1", 1), ("http://h/z", 0)], "bookUrl string, seq int")
     got = sorted((r["k"], r["bookUrl"]) for r in chapter_books(chapters, books).collect())
     assert got == [(1, "http://h/a/b/1"), (1, "http://h/a/b/1"), (2, "http://h/a/b/1")]
+
+
+def test_places_and_sums_of_one_large_group(spark):
+    from folioq.operators.positions import placed, summed_before
+
+    rows = [("hot" if k % 10 else None, (k * 7919) % 5000, k % 13) for k in range(5000)]
+    df = spark.createDataFrame(rows, "g string, o int, n int").repartition(7)
+    got = {r["o"]: r for r in summed_before(placed(df, ["g"], ["o"]), ["g"], ["o"], "n").collect()}
+    for g in ("hot", None):
+        before = 0
+        for place, (_, o, n) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1])):
+            assert (got[o]["place"], got[o]["before"]) == (place, before)
+            before += n
+    assert placed(df.limit(0), ["g"], ["o"]).collect() == [] and placed(df, [], ["o"]).agg({"place": "max"}).first()[0] == 4999
