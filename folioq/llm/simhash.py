@@ -235,8 +235,8 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
 def contract(edges: DataFrame) -> DataFrame:
     """Stars (node, root) of the components of edges (a, b), by alternating large-star and small-star steps.
 
-    Each round is written to the shared folder, and the one before it removed. A node's rows are packed for the join with
-    its minimum, so that a hub's many rows don't meet in one task.
+    Each round is written to the shared folder, and the one before it removed. The join with the minimum of a node is one
+    that AQE splits by size.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     edges = written(edges.where("a <> b").select(high.alias("a"), low.alias("b")).distinct(), "links")
@@ -248,11 +248,11 @@ def contract(edges: DataFrame) -> DataFrame:
         mark = (state["n"], state["h"])
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = unpacked(packed(both, "a").join(least, "a")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         large, old = written(large, "large-star"), edges
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = unpacked(packed(large, "a").join(least, "a")).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = written(small.where("a <> b").distinct(), "small-star")
         dropped(old, large)
 
