@@ -13,18 +13,16 @@ from folioq.rules import evaluate, links as K, urlrule
 from folioq.rules.script import evaluated
 from folioq.sources import fetch, rulesets
 
-_K, _NAME = F.col("p_partkey"), F.col("p_name")
-
 
 def _parts(spark: SparkSession, sf_dir: str, body: str, base: str = "https://h.test/b/{k}.html") -> DataFrame:
     """(page_id, url, html): a response for each part; {k}, {name}, {brand}, {size} stand for its columns."""
     def put(text: str):
         out = F.lit(text)
-        for mark, c in (("{k}", _K.cast("string")), ("{name}", _NAME), ("{brand}", F.col("p_brand")), ("{size}", F.col("p_size").cast("string"))):
+        for mark, c in (("{k}", F.col("p_partkey").cast("string")), ("{name}", F.col("p_name")), ("{brand}", F.col("p_brand")), ("{size}", F.col("p_size").cast("string"))):
             out = F.replace(out, F.lit(mark), c)
         return out
 
-    return table(spark, sf_dir, "part").select(_K.alias("page_id"), put(base).alias("url"), put(body).alias("html"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), put(base).alias("url"), put(body).alias("html"))
 
 
 def _values(df: DataFrame, out: str, of, kind=StringType(), body: str = "html") -> DataFrame:
@@ -279,9 +277,9 @@ def url_absolute(spark: SparkSession, sf_dir: str) -> DataFrame:
 def next_page_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which links lead to a further page of the same text; as a column and as a function."""
     n = F.col("p_size") % 5
-    first = F.concat(F.lit("https://h.test/b/"), _K, F.lit(".html"))
-    link = F.concat(F.lit("https://h.test/b/"), _K, F.lit("-"), n, F.lit(".html"))
-    rows = table(spark, sf_dir, "part").select(_K.alias("page_id"), first.alias("html"), link.alias("url"))
+    first = F.concat(F.lit("https://h.test/b/"), F.col("p_partkey"), F.lit(".html"))
+    link = F.concat(F.lit("https://h.test/b/"), F.col("p_partkey"), F.lit("-"), n, F.lit(".html"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), first.alias("html"), link.alias("url"))
     told = rules.mapped(rows, "html", "url", "under", BooleanType(), K.next_page_follows)
     return told.select("page_id", U.next_page_follows(F.col("html"), F.col("url")).alias("numbered"), "under", U.next_page_follows(F.lit("https://other.test/b/1.html"), F.col("url")).alias("elsewhere"), U.next_page_follows(F.col("html"), F.concat("html", F.lit("?page=2"))).alias("asked"))
 

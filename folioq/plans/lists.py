@@ -8,13 +8,11 @@ from folioq.functions import host as H, text as T, urls as U
 from folioq.operators import joins, listing as L, merge, places
 from folioq.plans.base import query, table
 
-_C, _P = F.col("c_custkey"), F.col("p_partkey")
-
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as a shelf of recent books."""
     c = table(spark, sf_dir, "customer")
-    return c.select(_C.alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("author"), F.when(_C % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("Intro "), _C)).alias("intro"), F.concat(F.lit("origin"), _C % 7).alias("origin"), F.when(_C % 5 == 0, "rss").alias("recentKind"))
+    return c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("author"), F.when(F.col("c_custkey") % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("Intro "), F.col("c_custkey"))).alias("intro"), F.concat(F.lit("origin"), F.col("c_custkey") % 7).alias("origin"), F.when(F.col("c_custkey") % 5 == 0, "rss").alias("recentKind"))
 
 
 _SHELF = "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS author, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'Intro ' || c_custkey END AS intro, 'origin' || (c_custkey % 7) AS origin, CASE WHEN c_custkey % 5 = 0 THEN 'rss' END AS kind FROM customer"
@@ -33,7 +31,7 @@ def shelf_kind_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as book sources."""
-    k = _P
+    k = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(k.alias("id"), F.col("p_name").alias("bookSourceName"), F.concat(F.lit("https://B"), k, F.lit(".test")).alias("bookSourceUrl"), F.when(k % 4 != 0, F.concat("p_brand", F.lit(","), "p_type")).alias("bookSourceGroup"), F.when(k % 6 == 0, False).when(k % 6 == 1, True).alias("enabled"), (k % 9).alias("customOrder"), F.when(k % 10 == 0, None).otherwise(k % 8).cast("int").alias("order0"))
 
 
@@ -82,7 +80,7 @@ _USERS = "SELECT c_custkey AS id, c_name AS username, c_custkey % 11 = 0 AS admi
 
 
 def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(_C.alias("id"), F.col("c_name").alias("username"), (_C % 11 == 0).alias("isAdmin"), F.when(_C % 13 == 0, F.lit(0)).otherwise(1000000 - _C * 7).cast("long").alias("createdAt"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), (F.col("c_custkey") % 11 == 0).alias("isAdmin"), F.when(F.col("c_custkey") % 13 == 0, F.lit(0)).otherwise(1000000 - F.col("c_custkey") * 7).cast("long").alias("createdAt"))
 
 
 @query(f"SELECT id FROM ({_USERS}) WHERE contains(lower(username || ' ' || CASE WHEN admin THEN '管理员' ELSE '' END || ' ' || CASE WHEN username = 'Customer#000000003' THEN '当前账号' ELSE '' END || ' '), '管理员')")
@@ -110,7 +108,7 @@ def next_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidate_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates by name without white space and author without its label."""
     c = table(spark, sf_dir, "customer")
-    rows = c.select(_C.alias("id"), F.regexp_replace("c_name", "#", " # ").alias("name"), F.concat(F.lit("作者："), "c_mktsegment").alias("author"))
+    rows = c.select(F.col("c_custkey").alias("id"), F.regexp_replace("c_name", "#", " # ").alias("name"), F.concat(F.lit("作者："), "c_mktsegment").alias("author"))
     author = c.where("c_custkey = 12").first()["c_mktsegment"]
     return L.same_book(rows, "Customer#0000 00012", author, loose=True).select("id")
 
@@ -118,7 +116,7 @@ def candidate_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey AS id FROM customer WHERE c_name = 'Customer#000000017' AND c_mktsegment <> ''")
 def bookmarks_of_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of exactly a book's name and author."""
-    rows = table(spark, sf_dir, "customer").select(_C.alias("id"), F.col("c_name").alias("name"), F.lit("A").alias("author"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("A").alias("author"))
     return L.same_book(rows, "Customer#000000017", "A").select("id")
 
 
@@ -170,7 +168,7 @@ def recent_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT seq, score FROM c ORDER BY score DESC, seq LIMIT 20""")
 def candidate_score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates by how much of a book they match; the list shows twenty."""
-    rows = table(spark, sf_dir, "part").select(_P.alias("seq"), F.concat(F.lit("《"), "p_name", F.lit("》")).alias("name"), F.concat(F.lit("作者："), "p_brand").alias("author"), F.concat("p_type", F.lit("!")).alias("lastChapter"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.concat(F.lit("《"), "p_name", F.lit("》")).alias("name"), F.concat(F.lit("作者："), "p_brand").alias("author"), F.concat("p_type", F.lit("!")).alias("lastChapter"))
     return L.candidates(rows, "small ring", "Brand#2", "ECONOMY").select("seq", "score")
 
 

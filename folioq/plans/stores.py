@@ -12,8 +12,6 @@ from folioq.plans.base import query, table
 from folioq.sources import charset, epub, feed, fetch, files, rulesets, store, txt
 from folioq.streaming import incremental, ratelimit
 
-_K, _NAME = F.col("p_partkey"), F.col("p_name")
-
 
 def _folder(spark: SparkSession, name: str) -> str:
     return recurse._shared(spark, name)
@@ -29,8 +27,8 @@ _IS_HEAD = "[true, true, true, true, false, true, false, true, true, true, true,
 @query(f"SELECT p_partkey AS doc_id, CAST(CASE WHEN h THEN k ELSE 0 END AS INTEGER) AS \"index\", CASE WHEN NOT h THEN '正文' WHEN k = 0 THEN '序章' ELSE t END AS title FROM (SELECT p_partkey, {_HEADS}[1 + p_partkey % 12] AS t, {_IS_HEAD}[1 + p_partkey % 12] AS h FROM part), range(2) r(k) WHERE h OR k = 0")
 def chapter_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is a chapter's heading, and what isn't."""
-    head = F.element_at(F.array(*[F.lit(x) for x in HEADS]), (1 + _K % 12).cast("int"))
-    docs = table(spark, sf_dir, "part").select(_K.alias("doc_id"), F.concat(F.lit("before\n"), head, F.lit("\nbody of "), _NAME).alias("text"))
+    head = F.element_at(F.array(*[F.lit(x) for x in HEADS]), (1 + F.col("p_partkey") % 12).cast("int"))
+    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("before\n"), head, F.lit("\nbody of "), F.col("p_name")).alias("text"))
     return books.chapters(docs).select("doc_id", "index", "title")
 
 
@@ -66,7 +64,7 @@ def charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 ['<p>b</p>', '<h1>' || p_name || '</h1><p>One <b>two</b><img src="O/i/p.png"></p><a href="#n">in</a><a>out</a>kept text', '<p>d e</p>'][i + 1] AS html FROM part, range(3) r(i)""")
 def epub_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books from archives: the spine's pages, titles from the navigation, the head or a number, covers, cleaned markup."""
-    rows = table(spark, sf_dir, "part").select(_K.alias("k"), F.concat_ws("|", "p_name", "p_brand", _K).alias("html"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat_ws("|", "p_name", "p_brand", F.col("p_partkey")).alias("html"))
 
     def of(text: str, _: str) -> bytes:
         name, brand, k = text.split("|")
@@ -81,7 +79,7 @@ def epub_books(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archive_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths within an archive; those that lead out of it are none."""
     names = ("inside", "above", "rooted", "schemed")
-    rows = table(spark, sf_dir, "part").select(_K.alias("k"), F.col("p_size").cast("string").alias("html"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("string").alias("html"))
     of = lambda n, _: dict(zip(names, (epub.safe_join("a/c", f"../b/{n}#x"), epub.safe_join("a", f"../../{n}"), epub.safe_join("a", f"/{n}"), epub.safe_join("a", f"file:{n}"))))
     return rules.mapped(rows, "html", None, "_r", StructType([StructField(c, StringType()) for c in names]), of).select("k", "_r.*")
 
@@ -193,7 +191,7 @@ def stored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table by key: saved, saved over, deleted from, copied into another."""
     schema = StructType().add("k", "long").add("name", "string")
     main, other = (store.Table(spark, _folder(spark, n), schema, ["k"]) for n in ("table", "copy"))
-    part = table(spark, sf_dir, "part").select(_K.cast("long").alias("k"), _NAME.alias("name"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"), F.col("p_name").alias("name"))
     main.upsert(part, 1)
     main.upsert(part.where("k % 3 = 0").withColumn("name", F.concat("name", F.lit("!"))), 2)
     main.delete(part.where("k % 5 = 0").select("k"), 3)
@@ -233,8 +231,8 @@ def toc_reindexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'd' || (p_partkey % 3) AS name, true AS is_folder, NULL::BIGINT AS size FROM part WHERE p_partkey % 2 = 1 GROUP BY 1 UNION ALL SELECT 'f' || p_partkey, false, p_size FROM part WHERE p_partkey % 2 = 0")
 def file_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One level of a tree of files: its folders, and its own files."""
-    folder = F.when(_K % 2 == 0, F.lit("/r")).otherwise(F.concat(F.lit("/r/d"), _K % 3, F.lit("/deep")))
-    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("f"), _K).alias("name"), folder.alias("folder"), F.col("p_size").cast("long").alias("size"))
+    folder = F.when(F.col("p_partkey") % 2 == 0, F.lit("/r")).otherwise(F.concat(F.lit("/r/d"), F.col("p_partkey") % 3, F.lit("/deep")))
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("f"), F.col("p_partkey")).alias("name"), folder.alias("folder"), F.col("p_size").cast("long").alias("size"))
     return files.children(rows, "/r/")
 
 

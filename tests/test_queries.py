@@ -49,3 +49,11 @@ def test_filters_reach_the_scan(spark):
 
     plan = table(spark, SF, "labels").where("quality = 0").select("doc_id")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(quality), EqualTo(quality,0)]" in plan and "ReadSchema: struct<doc_id:bigint,quality:" in plan
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"], cwd=here, check=True)
