@@ -43,10 +43,13 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back: cuts the lineage, survives lost executors, computes df once."""
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """df as a table in the shared folder, read back: cuts the lineage, survives lost executors, computes df once.
+
+    codec: how the files are compressed, if not as the session says; "zstd" for tables that hold whole texts.
+    """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -36,6 +36,8 @@ from folioq.llm.common import collected, dropped, packed, partitions, small_batc
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 FAN, ROWS, QUERIES = 8, 200_000, 8_192
+#: Shingles of texts that are dealt out at once.
+PACK = 1_000_000
 #: For similar texts: words to a shingle.
 LONG = 5
 MASK64 = (1 << 64) - 1
@@ -329,28 +331,70 @@ def _batch(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns.values()], names=list(columns))
 
 
+def _dealt(tokens: np.ndarray, ids: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, keys, ids) of shingles and their texts: the leading bits of the hash, the next 32 of all in that bucket, their texts' ids.
+
+    Ids go as steps from one to the next, all lowest bytes first: mostly zeros, which the shuffle's compression takes out.
+    """
+    for k in range(0, len(tokens), PACK):
+        token, own = tokens[k : k + PACK], ids[k : k + PACK]
+        bucket = (token >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket, own, key = bucket[order], own[order], (token[order] >> np.uint64(32 - bits)).astype("<u4")
+        at, counts = _lengths(bucket)
+        steps = np.diff(own, prepend=0).astype("<i8")
+        steps[at] = own[at]
+        runs = [(a, a + n) for a, n in zip(at.tolist(), counts.tolist())]
+        columns = pa.array(bucket[at]), pa.array([key[a:z].tobytes() for a, z in runs], pa.binary()), pa.array([steps[a:z].view(np.uint8).reshape(-1, 8).T.tobytes() for a, z in runs], pa.binary())
+        yield pa.RecordBatch.from_arrays(list(columns), names=["bucket", "keys", "ids"])
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tokens (bucket and key) and ids of the rows that `_dealt` makes, sorted by bucket: a whole bucket at a time."""
+    last, keys, ids = None, [], []
+    for batch in batches:
+        for bucket, key, steps in zip(*(c.to_pylist() for c in batch.columns)):
+            if keys and bucket != last:
+                yield (last << 32) + np.concatenate(keys), np.concatenate(ids)
+                keys, ids = [], []
+            last = bucket
+            keys.append(np.frombuffer(key, "<u4").astype(np.int64))
+            ids.append(np.cumsum(np.ascontiguousarray(np.frombuffer(steps, np.uint8).reshape(8, -1).T).view("<i8").ravel()))
+    if keys:
+        yield (last << 32) + np.concatenate(keys), np.concatenate(ids)
+
+
 def _postings(texts: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
     """(token, id, size, pos): the shingles of each text (id, text; sizes: id, size) by which a similar one must be found, rarest first.
 
     Two sets of the similarity have, in any common order, a shingle in common among the first size - least(size) + 1 of
-    each. The order here is by the number of texts, then the hash: a shingle of one text only is counted, no more.
+    each. The order here is by the number of texts, then the token: a shingle of one text only is counted, no more.
+
+    Most shingles are of one text, and all must go out to be counted: they go in buckets, as a few bytes each. A token is
+    the bucket and 32 bits of the hash. Shingles that share a token are counted as one, which is a common order still: the
+    shingle that two texts must share has its token among the first of both.
     """
+    spark = texts.sparkSession
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    bits = min(31, max(8 * partitions(spark), -(-total // ROWS)).bit_length())
 
     def all_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sets, n = [], [], 0
         for batch in batches:
-            ids, sets, n = [], [], 0
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sets.append(shingles((t.as_py() or "").encode()).view(np.int64))
+                sets.append(shingles((t.as_py() or "").encode()))
                 ids.append(i)
                 n += len(sets[-1])
-                if n >= ROWS:
-                    yield _batch(token=np.concatenate(sets), id=np.repeat(ids, [len(x) for x in sets]))
+                if n >= PACK:
+                    yield from _dealt(np.concatenate(sets), np.repeat(ids, [len(x) for x in sets]), bits)
                     ids, sets, n = [], [], 0
-            if n:
-                yield _batch(token=np.concatenate(sets), id=np.repeat(ids, [len(x) for x in sets]))
+        if n:
+            yield from _dealt(np.concatenate(sets), np.repeat(ids, [len(x) for x in sets]), bits)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, ids in _whole(batches):
+        for token, ids in _buckets(batches):
+            order = np.argsort(token, kind="stable")
+            token, ids = token[order], ids[order]
             n = np.repeat(counts := _lengths(token)[1], counts)
             yield _batch(id=ids[n > 1], n=n[n > 1], token=token[n > 1])
 
@@ -366,10 +410,11 @@ def _postings(texts: DataFrame, sizes: DataFrame, similarity: float) -> DataFram
             keep = np.repeat(counts := _lengths(token)[1], counts) > 1
             yield _batch(token=token[keep], id=ids[keep], size=size[keep], pos=pos[keep])
 
-    out = texts.mapInArrow(all_, "token bigint, id bigint").repartition("token").sortWithinPartitions("token")
+    out = texts.mapInArrow(all_, "bucket bigint, keys binary, ids binary").repartition("bucket").sortWithinPartitions("bucket")
     out = out.mapInArrow(shared, "id bigint, n bigint, token bigint").join(sizes, "id").select("id", "n", "token", "size").repartition("id").sortWithinPartitions("id", "n", "token")
     out = out.mapInArrow(first, "token bigint, id bigint, size bigint, pos bigint").repartition("token").sortWithinPartitions("token")
-    return written(out.mapInArrow(several, "token bigint, id bigint, size bigint, pos bigint"), "postings")
+    with small_batches(spark, 10_000):
+        return written(out.mapInArrow(several, "token bigint, id bigint, size bigint, pos bigint"), "postings")
 
 
 def _candidates(similarity: float, low: int, high: int):
@@ -451,7 +496,7 @@ def _similar_links(texts: DataFrame, sizes: DataFrame, similarity: float) -> Dat
     postings = _postings(texts, sizes.select("id", "size"), similarity)
     collected(spark)  # the postings' shuffles are several times the texts
     near = written(postings.select("id").distinct(), "near-ids")
-    texts = written(texts.join(near, "id", "left_semi"), "near-texts")
+    texts = written(texts.join(near, "id", "left_semi"), "near-texts", "zstd")
     dropped(near)
     edges, low, step = _compared(_near_fingerprints(sizes.select("id", "print")), texts, similarity), 0, 1
     while True:
@@ -492,7 +537,7 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", similar
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[k] for x in sketches], pa.int64()) for k in range(4))], names=[*names, one, two, size, print_])
 
     rows = df.mapInArrow(sketched, StructType([*df.schema.fields, *(StructField(c, LongType()) for c in (one, two, size, print_))]))
-    rows = written(rows.withColumn(row, F.monotonically_increasing_id()), "rows")
+    rows = written(rows.withColumn(row, F.monotonically_increasing_id()), "rows", "zstd")
     least = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col(row).alias("row"))
     classes = rows.select(one, two, size, print_, least.alias("_least")).groupBy(one, two).agg(F.min("_least").alias("least"), F.min(size).alias("size"), F.min(print_).alias("print"))
     classes = written(classes.withColumn("fp", F.col("least.row")), "classes")

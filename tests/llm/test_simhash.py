@@ -138,3 +138,27 @@ def test_packed_rows_come_back(spark):
     df = spark.createDataFrame(rows, "g int, k int, t string").repartition(3)
     assert sorted(unpacked(packed(df, "g")).select("g", "k", "t").collect(), key=lambda r: r["k"]) == rows
     assert packed(df, "g").count() <= 3 * 8 and packed(df.limit(0), "g").collect() == []
+
+
+def test_shingles_of_one_text_go_out_small(spark):
+    """All shingles are sent to be counted; those of one text only, most of them, must not cost a row each."""
+    rng = np.random.default_rng(8)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 100_000, 1_000))) for k in range(400)]
+    texts = spark.createDataFrame(rows, "id bigint, text string").repartition(4)
+    sizes = spark.createDataFrame([(k, len(S.shingles(t.encode()))) for k, t in rows], "id bigint, size bigint")
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    whole = S.written(texts, "test-texts")  # its own shuffle isn't counted
+    before = sent()
+    assert S._postings(whole, sizes, 0.8).isEmpty()
+    assert 0 < sent() - before < 8 * 400 * 996
+
+
+def test_dealt_shingles_come_back():
+    rng = np.random.default_rng(9)
+    tokens, ids = rng.integers(0, 1 << 64, 5_000, dtype=np.uint64), rng.integers(0, 1 << 62, 5_000)
+    tokens[::7] = tokens[0]
+    tokens[5], tokens[6] = 0, S.MASK64
+    rows = [r for b in S._dealt(tokens, ids, 4) for r in b.to_pylist()]
+    batch = S.pa.RecordBatch.from_pylist(sorted(rows, key=lambda r: r["bucket"]))
+    got = [np.concatenate(x) for x in zip(*S._buckets(iter([batch.slice(0, 5), batch.slice(5)])))]
+    assert sorted(zip(*(x.tolist() for x in got))) == sorted(zip((tokens >> np.uint64(28)).tolist(), ids.tolist()))
