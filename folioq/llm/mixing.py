@@ -131,7 +131,7 @@ def mix(rows: DataFrame, source: str = "source", **how) -> DataFrame:
 
 def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, **how) -> DataFrame:
     """The mix: df's columns as they are, once for each turn of which at least half is served before the budget ends, sorted by virtual finish."""
-    rows = written(df.withColumn(ROW, F.monotonically_increasing_id()), "mix-rows")
+    rows = written(df.withColumn(ROW, F.monotonically_increasing_id()), "mix-rows", "zstd")
     sizes = rows.select(ROW, F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("order_key"))
     sizes = written(sizes, "mix-sizes")
     taken, _ = schedule(sizes, "source", **how)

@@ -108,3 +108,22 @@ def test_targets_of_many_sources(spark):
     got = {(None if r["nul"] else r["src"]): r["target"] for r in M.targets(spark.createDataFrame(rows, "nul boolean, src string, source_size bigint").repartition(5)).collect()}
     want = reshared(sizes)
     assert all(got[s] == pytest.approx(want[s], abs=1e-6) for s in sizes)
+
+
+def test_the_copy_of_the_texts_is_small(spark):
+    import glob
+    import os
+
+    import numpy as np
+
+    from folioq.llm.common import shared_dir, written
+
+    def kept(name):
+        newest = max(glob.glob(f"{shared_dir(spark)}/folioq/{name}-*"), key=os.path.getmtime)
+        return sum(os.path.getsize(f) for f in glob.glob(f"{newest}/*.parquet"))
+
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(k, "ab"[k % 2], " ".join(f"word{x}" for x in rng.integers(0, 2_000, 300))) for k in range(2_000)], "doc_id int, source string, text string")
+    written(df, "plain-rows")
+    assert M.mixed(df).count() > 2_000
+    assert kept("mix-rows") < 0.75 * kept("plain-rows")
