@@ -10,18 +10,19 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, StringType, StructField, StructType
 
 from folioq.dom.tree import parse
+from folioq.operators.batches import sliced
 from folioq.rules import evaluate, extract
 
 CHAPTER = StructType([StructField("index", IntegerType()), StructField("title", StringType()), StructField("url", StringType()), StructField("tag", StringType()), *(StructField(k, BooleanType()) for k in ("isVolume", "isVip", "isPay"))])
 
 
 def mapped(df: DataFrame, body: str, base: str | None, out: str, kind: DataType, of: Callable[[str, str], object]) -> DataFrame:
-    """df with column `out` = of(body, base), row by row in Arrow batches; null bodies count as empty."""
+    """df with column `out` = of(body, base), row by row in small Arrow batches; null bodies count as empty."""
     names, at = [*df.columns, out], (df.columns.index(body), df.columns.index(base) if base else None)
     arrow = to_arrow_type(kind)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             bodies = batch.column(at[0]).to_pylist()
             bases = batch.column(at[1]).to_pylist() if at[1] is not None else [""] * len(bodies)
             values = [of(b or "", u or "") for b, u in zip(bodies, bases)]

@@ -7,6 +7,7 @@ from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, St
 
 from folioq.functions import text as T, titles
 from folioq.operators import books, recurse, rules, shelf
+from folioq.operators.batches import dealt
 from folioq.plans import samples
 from folioq.plans.base import query, table
 from folioq.sources import charset, epub, feed, fetch, files, rulesets, store, txt
@@ -64,15 +65,14 @@ def charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 ['<p>b</p>', '<h1>' || p_name || '</h1><p>One <b>two</b><img src="O/i/p.png"></p><a href="#n">in</a><a>out</a>kept text', '<p>d e</p>'][i + 1] AS html FROM part, range(3) r(i)""")
 def epub_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books from archives: the spine's pages, titles from the navigation, the head or a number, covers, cleaned markup."""
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat_ws("|", "p_name", "p_brand", F.col("p_partkey")).alias("html"))
+    rows = dealt(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat_ws("|", "p_name", "p_brand", F.col("p_partkey")).alias("html")))
 
     def of(text: str, _: str) -> bytes:
         name, brand, k = text.split("|")
         return samples.epub_file(name, brand, int(k))
 
     raw = rules.mapped(rows, "html", None, "content", BinaryType(), of)
-    key = F.concat(F.lit("local-epub:"), F.md5(F.concat(F.lit("ns:file:").cast("binary"), "content")))
-    return epub.imported(raw, "ns").join(raw.select(key.alias("bookUrl"), "k"), "bookUrl").select("k", "bookTitle", "author", "cover", "index", "path", "title", "html")
+    return epub.imported(raw, "ns", keep=("k",)).select("k", "bookTitle", "author", "cover", "index", "path", "title", "html")
 
 
 @query("SELECT p_partkey AS k, 'a/b/' || p_size AS inside, NULL AS above, NULL AS rooted, NULL AS schemed FROM part")
