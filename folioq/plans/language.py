@@ -8,6 +8,7 @@ from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, S
 from folioq.dom import jsonpath, xpath
 from folioq.functions import urls as U
 from folioq.operators import rules
+from folioq.operators.batches import dealt
 from folioq.plans.base import query, table
 from folioq.rules import evaluate, links as K, urlrule
 from folioq.rules.script import evaluated
@@ -22,7 +23,8 @@ def _parts(spark: SparkSession, sf_dir: str, body: str, base: str = "https://h.t
             out = F.replace(out, F.lit(mark), c)
         return out
 
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), put(base).alias("url"), put(body).alias("html"))
+    part = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size"))
+    return part.select(F.col("p_partkey").alias("page_id"), put(base).alias("url"), put(body).alias("html"))
 
 
 def _values(df: DataFrame, out: str, of, kind=StringType(), body: str = "html") -> DataFrame:
@@ -107,7 +109,7 @@ def event_json_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     import json
 
     kind = StructType([StructField(c, StringType()) for c in ("k", "none", "link")])
-    df = table(spark, sf_dir, "events").select("event_id", "event_type", F.to_json(F.struct(F.from_json("props", "map<string,string>").alias("p"), F.col("event_type").alias("t"))).alias("html"))
+    df = dealt(table(spark, sf_dir, "events").select("event_id", "event_type", "props")).select("event_id", "event_type", F.to_json(F.struct(F.from_json("props", "map<string,string>").alias("p"), F.col("event_type").alias("t"))).alias("html"))
 
     def of(body: str, _: str) -> dict:
         x = json.loads(body)
@@ -232,7 +234,7 @@ SELECT event_id, 'https://s.test/find/' || key AS url, 'POST' AS method, replace
 def url_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A URL rule to a whole request: scripts, placeholders, page choice, options with odd JSON, headers, a form's body."""
     rule = '<js>"/find/" + key</js>,{"method":"POST","charset":"utf-8","body":"kw={{key}} é&p=<a,b,c>","headers":{"X-A":"1"},"retry":3,"webView":true}'
-    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("key"), (1 + F.col("user_id") % 4).cast("int").alias("page"))
+    rows = dealt(table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("key"), (1 + F.col("user_id") % 4).cast("int").alias("page")))
     got = fetch.requests(rows, rule.replace("</js>,", "</js>@result,"), base="https://s.test/list?x=1", headers="{'r':'1','User-Agent':'T'}")
     names = F.array_join(F.transform(F.filter(F.array_sort(F.transform("request.headers", lambda h: F.struct(F.lower(h["k"]).alias("k"), h["v"].alias("v")))), lambda h: F.lit(True)), lambda h: F.concat(F.replace(h["k"], F.lit("user-agent"), F.lit("ua")), F.lit("="), h["v"])), "|")
     return got.select("event_id", "request.url", "request.method", "request.body", names.alias("headers"), "request.retry", "request.charset", "request.webView")
@@ -279,7 +281,7 @@ def next_page_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_size") % 5
     first = F.concat(F.lit("https://h.test/b/"), F.col("p_partkey"), F.lit(".html"))
     link = F.concat(F.lit("https://h.test/b/"), F.col("p_partkey"), F.lit("-"), n, F.lit(".html"))
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), first.alias("html"), link.alias("url"))
+    rows = dealt(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), first.alias("html"), link.alias("url")))
     told = rules.mapped(rows, "html", "url", "under", BooleanType(), K.next_page_follows)
     return told.select("page_id", U.next_page_follows(F.col("html"), F.col("url")).alias("numbered"), "under", U.next_page_follows(F.lit("https://other.test/b/1.html"), F.col("url")).alias("elsewhere"), U.next_page_follows(F.col("html"), F.concat("html", F.lit("?page=2"))).alias("asked"))
 

@@ -79,7 +79,7 @@ def epub_books(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archive_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths within an archive; those that lead out of it are none."""
     names = ("inside", "above", "rooted", "schemed")
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("string").alias("html"))
+    rows = dealt(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("string").alias("html")))
     of = lambda n, _: dict(zip(names, (epub.safe_join("a/c", f"../b/{n}#x"), epub.safe_join("a", f"../../{n}"), epub.safe_join("a", f"/{n}"), epub.safe_join("a", f"file:{n}"))))
     return rules.mapped(rows, "html", None, "_r", StructType([StructField(c, StringType()) for c in names]), of).select("k", "_r.*")
 
@@ -170,7 +170,7 @@ def shelf_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'https://n.test/' || event_id || '?final' AS url, CAST(CASE event_id % 3 WHEN 0 THEN 503 WHEN 1 THEN 404 ELSE 200 END AS INTEGER) AS status, 'body ' || event_id AS body, CAST(CASE WHEN event_id % 3 = 0 THEN 3 ELSE 1 END AS INTEGER) AS attempts FROM events")
 def fetch_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests against a server played by a function: failures of the server are tried again, others aren't."""
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("key"), F.lit(1).alias("page"))
+    rows = dealt(table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("key"), F.lit(1).alias("page")))
     return fetch.fetch(fetch.requests(rows, "https://n.test/{{key}}"), samples.answer, 0.0).select("url", "status", "body", "attempts")
 
 

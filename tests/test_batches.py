@@ -32,3 +32,23 @@ def test_one_row_group_is_dealt_out(spark, tmp_path):
 def test_epub_books_unpack_once(spark):
     text = plan(QUERIES["epub_books"](spark, SF))
     assert "RoundRobinPartitioning" in text and "Join" not in text and text.count("MapInArrow") == 2
+
+
+@given
+@pytest.mark.parametrize("name", ["rule_scripts", "rule_list_fields", "rule_script_list", "rule_xpath_values", "login_check", "rule_content_next", "rule_toc_scripts", "rule_selectors", "rule_detail_fallback", "rule_splitting", "rule_xpath_list", "rule_explore_list", "event_json_path", "url_requests", "archive_paths", "next_page_guard"])
+def test_rules_run_in_many_tasks(spark, name):
+    text = plan(QUERIES[name](spark, SF))
+    assert 0 < text.index("MapInArrow") < text.index("RoundRobinPartitioning")
+
+
+def test_a_script_is_parsed_once(monkeypatch):
+    from folioq.rules import script
+
+    made, parser = [], script._Parser
+    monkeypatch.setattr(script, "_Parser", lambda text: (made.append(text), parser(text))[1])
+    script.program.cache_clear()
+    assert [script.evaluated("var n = Number(result); n + 1", str(k)) for k in range(50)] == [str(k) for k in range(1, 51)] and len(made) == 1
+    for _ in range(2):  # a script that can't be parsed fails each time, one that changes its own arrays starts anew each time
+        with pytest.raises(script.ScriptError):
+            script.evaluated("var = 1")
+        assert script.evaluated("var a = [1, [2]]; a.push(3); a[1].push(4); a", "") == "[1,[2,4],3]"
