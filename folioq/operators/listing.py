@@ -198,10 +198,21 @@ def progress_counts(results: DataFrame, by: Sequence[str] = (), status: str = "s
     return results.groupBy(*by).agg(*[F.count_if(F.col(status) == k).alias(k) for k in ("cached", "success", "failed")])
 
 
+def _whole_minutes(seconds: str) -> Column:
+    """A group's sum of seconds in whole minutes, whatever the order of the rows.
+
+    Seconds that are decimals of up to six places (below 10^12) are added as such; a group with others adds doubles.
+    """
+    exact = F.col(seconds).try_cast("decimal(18,6)")
+    decimals = F.count_if(~exact.cast("double").eqNullSafe(F.col(seconds).cast("double"))) == 0
+    whole = F.floor(F.sum(exact)).cast("bigint")
+    return F.when(decimals, F.call_function("div", whole - F.pmod(whole, F.lit(60)), F.lit(60))).otherwise(F.floor(F.sum(seconds) / 60))
+
+
 def reading_stats(reads: DataFrame, by: Sequence[str]) -> DataFrame:
     """(opened, chapters, completed, minutes) of reads (bookUrl, index, total, seconds)."""
     done = F.when(F.col("index") >= F.col("total") - 1, F.col("bookUrl"))
-    return reads.groupBy(*by).agg(F.countDistinct("bookUrl").alias("opened"), F.countDistinct(F.concat("bookUrl", F.lit("#"), "index")).alias("chapters"), F.countDistinct(done).alias("completed"), F.floor(F.sum("seconds") / 60).alias("minutes"))
+    return reads.groupBy(*by).agg(F.countDistinct("bookUrl").alias("opened"), F.countDistinct(F.concat("bookUrl", F.lit("#"), "index")).alias("chapters"), F.countDistinct(done).alias("completed"), _whole_minutes("seconds").alias("minutes"))
 
 
 def next_id(rows: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
