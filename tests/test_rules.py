@@ -139,3 +139,14 @@ def test_urls():
 
 def test_splitting():
     assert P.combined("a[x='&&']&&b") == ("&&", ["a[x='&&']", "b"]) and P.steps("a@b@@c") == ["a", "b@@c"] and P.parses("a@b@@c") == ["a@b", "c"]
+
+
+def test_a_rule_is_split_once_for_all_rows(monkeypatch):
+    rule, seen = "tag.b@text||tag.i@text", []
+    monkeypatch.setattr(P, "split", lambda text, mark, real=P.split: (seen.append(text), real(text, mark))[1])
+    for k in range(20):
+        got = E.rows(f"<p class='r'><i>{k}</i></p>", "https://h.test/", "class.r", {"name": rule, "kind": "@put:{n:tag.i@text}k{{n}}"})
+        assert got[0]["name"] == str(k) and E.field(E.document(f"<i>{k}</i>", "css"), "i@text", E.Context()) == str(k)
+    assert seen.count(rule) == 1
+    P.steps("a@b").append("c")  # a caller's list is its own
+    assert P.steps("a@b") == ["a", "b"] and P.combined("a&&b")[1] == ["a", "b"]
