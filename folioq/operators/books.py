@@ -15,8 +15,8 @@ BLANK = r"(?U)^\s+|\s+$"
 PROLOGUE, WHOLE = "序章", "正文"
 
 
-def chapters(docs: DataFrame, heading: str = HEADING, key: str = "doc_id", text: str = "text", most: int = 80) -> DataFrame:
-    """(key, index, title, start, stop, content): byte offsets, the content between a heading and the next.
+def chapters(docs: DataFrame, heading: str = HEADING, key: str = "doc_id", text: str = "text", most: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep, index, title, start, stop, content): byte offsets, the content between a heading and the next.
 
     One aggregate over each text's lines, within its row: no line leaves its document, and nothing is shuffled.
     """
@@ -33,16 +33,16 @@ def chapters(docs: DataFrame, heading: str = HEADING, key: str = "doc_id", text:
         return F.struct(after.alias("at"), F.when(is_head, F.concat(acc["heads"], F.array(head))).otherwise(acc["heads"]).alias("heads"))
 
     raw, total = F.col("_raw"), F.octet_length("_raw").cast("bigint")
-    df = docs.select(key, t.cast("binary").alias("_raw"), F.aggregate(lines, place, step, lambda acc: acc["heads"]).alias("_h"))
+    df = docs.select(key, *keep, t.cast("binary").alias("_raw"), F.aggregate(lines, place, step, lambda acc: acc["heads"]).alias("_h"))
     none = F.array(F.struct(F.lit(WHOLE).alias("title"), F.lit(0).cast("bigint").alias("head"), F.lit(0).cast("bigint").alias("start")))
     intro = F.array(F.struct(F.lit(PROLOGUE).alias("title"), F.lit(0).cast("bigint").alias("head"), F.lit(0).cast("bigint").alias("start")))
     before = F.trim(F.substring(raw, F.lit(1), F.coalesce(F.get("_h", F.lit(0))["head"], F.lit(0)).cast("int")).cast("string"))
     heads = F.when(F.size("_h") == 0, none).when(F.regexp_replace(before, r"\s+", "") != "", F.concat(intro, F.col("_h"))).otherwise(F.col("_h"))
-    df = df.select(key, "_raw", heads.alias("_h"))
-    rows = df.select(key, "_raw", F.posexplode(F.transform("_h", lambda h, i: F.struct(h["title"].alias("title"), h["start"].alias("start"), F.coalesce(F.get("_h", i + 1)["head"], total).alias("stop")))).alias("index", "_c"))
+    df = df.select(key, *keep, "_raw", heads.alias("_h"))
+    rows = df.select(key, *keep, "_raw", F.posexplode(F.transform("_h", lambda h, i: F.struct(h["title"].alias("title"), h["start"].alias("start"), F.coalesce(F.get("_h", i + 1)["head"], total).alias("stop")))).alias("index", "_c"))
     start, stop = F.least(F.col("_c.start"), total), F.col("_c.stop")
     content = F.regexp_replace(F.substring(raw, start.cast("int") + 1, F.greatest(stop - start, F.lit(0)).cast("int")).cast("string"), r"[\r\n]+$", "")
-    return rows.select(key, "index", F.col("_c.title").alias("title"), start.alias("start"), F.greatest(stop, start).alias("stop"), content.alias("content"))
+    return rows.select(key, *keep, "index", F.col("_c.title").alias("title"), start.alias("start"), F.greatest(stop, start).alias("stop"), content.alias("content"))
 
 
 def ranged(texts: DataFrame, text: str, start: str, stop: str, out: str = "content") -> DataFrame:

@@ -42,7 +42,7 @@ def text_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("file:/d/book%3A%20"), "doc_id", F.lit(".txt")).alias("path"), (F.col("doc_id") % 3).cast("string").alias("url"), whole.alias("html"))
     raw = rules.mapped(rows, "html", "url", "content", BinaryType(), lambda t, how: t.encode("gb18030") if how == "2" else (b"\xef\xbb\xbf" if how == "1" else b"") + t.encode())
     found = txt.imported(raw.select("path", F.octet_length("content").cast("long").alias("length"), "content"), "ns")
-    return txt.chapters(found).join(found.select("bookUrl", "name").distinct(), "bookUrl").select("bookUrl", "name", "index", "title", F.md5("content").alias("content"))
+    return txt.chapters(found, keep=("name",)).select("bookUrl", "name", "index", "title", F.md5("content").alias("content"))
 
 
 @query("SELECT doc_id, md5(text) AS text FROM documents")
@@ -94,7 +94,8 @@ def feed_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     day, origin = F.lpad((1 + F.col("event_id") % 28).cast("string"), 2, "0"), F.col("event_id")
     rss = F.concat(F.lit("<rss><channel><item><title>"), "event_type", F.lit("</title><link>https://f.test/"), origin, F.lit("/0</link><description>D</description><pubDate>2024-01-"), day, F.lit("T00:00:00Z</pubDate></item>"))
     atom = F.concat(F.lit('<entry xmlns="http://www.w3.org/2005/Atom" xmlns:media="m"><title>Atom '), "user_id", F.lit('</title><link rel="alternate" href="https://f.test/'), origin, F.lit('/1"/><summary>S</summary><media:thumbnail url="https://i.test/'), origin, F.lit('.png"/></entry></channel></rss>'))
-    rows = table(spark, sf_dir, "events").select(origin.alias("origin"), F.concat(rss, atom).alias("body"))
+    events = dealt(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"))
+    rows = events.select(origin.alias("origin"), F.concat(rss, atom).alias("body"))
     return feed.read(rows, now=7).select("origin", "seq", "title", "link", "description", "image", "order")
 
 

@@ -24,7 +24,7 @@ def imported(files: DataFrame, namespace: str = "default") -> DataFrame:
     return rows.select(url.alias("bookUrl"), name.alias("name"), "text", problem.alias("problem"))
 
 
-def chapters(books_: DataFrame, heading: str = books.HEADING) -> DataFrame:
-    """(bookUrl, index, title, url, start, stop, content, chars) of the books that have no problem."""
-    rows = books.chapters(books_.where("problem IS NULL"), heading, "bookUrl", "text")
+def chapters(books_: DataFrame, heading: str = books.HEADING, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(bookUrl, keep, index, title, url, start, stop, content, chars) of the books that have no problem; keep are columns of theirs."""
+    rows = books.chapters(books_.where("problem IS NULL"), heading, "bookUrl", "text", keep=keep)
     return rows.select("*", F.concat_ws("#", "bookUrl", "index").alias("url"), F.length("content").alias("chars"))
