@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from folioq.operators.batches import sliced
+
 FIELDS = ("title", "link", "description", "content", "pubDate", "image")
 
 
@@ -48,11 +50,15 @@ def read(responses: DataFrame, body: str = "body", origin: str = "origin", now:
     schema = StructType([responses.schema[origin], StructField("seq", LongType()), *(StructField(f, StringType()) for f in FIELDS), StructField("order", LongType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for o, xml in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = list(articles(xml or ""))
-                cols = [pa.array([r[f] for r in found], pa.string()) for f in FIELDS]
-                yield pa.RecordBatch.from_arrays([pa.array([o] * len(found), batch.schema.field(0).type), pa.array(range(len(found)), pa.int64()), *cols, pa.array([r["order"] if r["order"] is not None else now for r in found], pa.int64())], names=schema.names)
+        for batch in sliced(batches):
+            found, feeds, seqs = [], [], []
+            for k, xml in enumerate(batch.column(1).to_pylist()):
+                some = list(articles(xml or ""))
+                found += some
+                feeds += [k] * len(some)
+                seqs += range(len(some))
+            cols = [pa.array([r[f] for r in found], pa.string()) for f in FIELDS]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(feeds, pa.int32())), pa.array(seqs, pa.int64()), *cols, pa.array([r["order"] if r["order"] is not None else now for r in found], pa.int64())], names=schema.names)
 
     return responses.select(origin, body).mapInArrow(rows, schema)
 
