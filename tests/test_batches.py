@@ -52,3 +52,57 @@ def test_a_script_is_parsed_once(monkeypatch):
         with pytest.raises(script.ScriptError):
             script.evaluated("var = 1")
         assert script.evaluated("var a = [1, [2]]; a.push(3); a[1].push(4); a", "") == "[1,[2,4],3]"
+
+
+@pytest.mark.parametrize("step", ["pages", "texts", "feeds"])
+def test_python_steps_hold_little_at_once(spark, monkeypatch, step):
+    """A batch of 10,000 rows is worked off in small ones; each row comes back once, in order."""
+    from folioq.operators import rules
+    from folioq.sources import charset, feed
+
+    sent = []
+    n = 3000
+    rows = {"pages": [(k, "http://h.test/", f"<a href='/{k}'>{k}</a>") for k in range(n)], "texts": [(k, f"text {k}".encode()) for k in range(n)], "feeds": [(k, f"<r><item><title>{k}</title></item><item/></r>" if k % 3 else "no feed") for k in range(n)]}[step]
+    schema = {"pages": "page_id int, url string, html string", "texts": "id int, body binary", "feeds": "origin int, body string"}[step]
+
+    class Frame:
+        """Stands for a table of one batch: keeps the function that a step gives to mapInArrow."""
+
+        def __init__(self):
+            df = spark.createDataFrame(rows[:1], schema)
+            self.schema, self.columns = df.schema, df.columns
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, f, schema):
+            names = [c for c in self.columns]
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), {"pages": [pa.int32(), pa.string(), pa.string()], "texts": [pa.int32(), pa.binary()], "feeds": [pa.int32(), pa.string()]}[step])], names=names)
+            sent.extend(f(iter([batch])))
+            return self
+
+    from pyspark.sql.types import StringType
+
+    if step == "pages":
+        rules.mapped(Frame(), "html", "url", "out", StringType(), lambda b, u: b)
+        assert [v for b in sent for v in b.column(3).to_pylist()] == [r[2] for r in rows]
+    elif step == "texts":
+        charset.with_text(Frame(), "body", plain=True)
+        assert [v for b in sent for v in b.column(2).to_pylist()] == [f"text {k}" for k in range(n)]
+    else:
+        feed.read(Frame(), now=7)
+        got = [r for b in sent for r in zip(*(b.column(k).to_pylist() for k in (0, 1, 2)))]
+        assert got == [r for k in range(n) if k % 3 for r in ((k, 0, str(k)), (k, 1, None))]
+    assert 1 < len(sent) < n / 50 and max(b.num_rows for b in sent) <= 2 * batches.ROWS
+
+
+@given
+def test_text_books_are_read_once(spark):
+    text = plan(QUERIES["text_books"](spark, SF))
+    assert "Join" not in text and text.count("MapInArrow") == 2
+
+
+@given
+def test_feeds_are_read_in_many_tasks(spark):
+    text = plan(QUERIES["feed_articles"](spark, SF))
+    assert 0 < text.index("MapInArrow") < text.index("RoundRobinPartitioning")
